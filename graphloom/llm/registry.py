@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html, neardup, packing, quality, toxicity, warc
+from . import annforest, bpe, html, neardup, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op6_annforest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annforest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -44,7 +48,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_bpe, op3_toxicity, op4_minhash, op5_warc, op7_packing, op8_html, op9_quality]
+    found = [op2_bpe, op3_toxicity, op4_minhash, op5_warc, op6_annforest, op7_packing, op8_html, op9_quality]
     return {f.__name__: f for f in found}
 
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annforest, bpe, html, neardup, packing, quality, toxicity, warc
+from . import annforest, bpe, embdup, html, neardup, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -48,7 +52,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_bpe, op3_toxicity, op4_minhash, op5_warc, op6_annforest, op7_packing, op8_html, op9_quality]
+    found = [op1_embdup, op2_bpe, op3_toxicity, op4_minhash, op5_warc, op6_annforest, op7_packing, op8_html, op9_quality]
     return {f.__name__: f for f in found}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import annforest, bpe, embdup, html, neardup, packing, quality, toxicity, warc
+from . import annforest, bpe, embdup, html, linededup, neardup, packing, quality, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicate(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_embdup, op2_bpe, op3_toxicity, op4_minhash, op5_warc, op6_annforest, op7_packing, op8_html, op9_quality]
+    found = [op1_embdup, op2_bpe, op3_toxicity, op4_minhash, op5_warc, op6_annforest, op7_packing, op8_html, op9_quality, op10_linededup]
     return {f.__name__: f for f in found}
 
 

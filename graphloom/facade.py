@@ -95,15 +95,20 @@ class Workspace:
         calls = self.relationships.filter("kind = 'calls'").select("source_id", "target_id", F.lit(0).alias("ord"))
         return retrieval.expand(best, self.chunks.withColumn("ord", F.lit(0)), calls)
 
-    def context(self, target: str, task: str = "general", budget: int = context.BUDGET) -> DataFrame:
-        """Context of the entity a text names (by id, else the first match); no rows if there is none."""
+    def context(self, target: str, task: str | None = None, budget: int = context.BUDGET) -> DataFrame:
+        """Context of the entity a text names (by id, else the first match), by task or in fixed order; no rows if there is none."""
         return self._contexts(graph.resolve_target(self.entities, target).select("id"), task, budget)
 
-    def _contexts(self, ids: DataFrame, task: str, budget: int) -> DataFrame:
-        task = task if task in context.PRIORITIES else "general"
+    def summary(self, query: str, most: int = 5) -> DataFrame:
+        return context.search_summary(graph.search(self.entities, query, most), query)
+
+    def _contexts(self, ids: DataFrame, task: str | None, budget: int) -> DataFrame:
         wanted = self.entities.join(ids, "id", "left_semi")
         edges = self.relationships.join(ids.select(F.col("id").alias("i")), (F.col("source_id") == F.col("i")) | (F.col("target_id") == F.col("i")), "left_semi")
-        return context.synthesize(context.sections(self.entities, edges).join(wanted.select("id"), "id", "left_semi"), task, budget)
+        parts = context.sections(self.entities, edges).join(wanted.select("id"), "id", "left_semi")
+        if task is None:
+            return context.synthesize_fixed(parts, budget)
+        return context.synthesize(parts, task if task in context.PRIORITIES else "general", budget)
 
     def query(self, question: str, max_tokens: int = 6000, task: str | None = None, entities: int = 3) -> DataFrame:
         """One row: task, confidence, mode, text, tokens, sufficiency, truncated and where the answer should come from."""

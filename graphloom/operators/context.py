@@ -21,14 +21,15 @@ THRESHOLD = 0.8
 SHORT = 100
 
 
-def fold(sections: Column, budget: Column | int) -> Column:
+def fold(sections: Column, budget: Column | int, used: Column | int = 0) -> Column:
     """Greedy budget over an ordered array<struct<name,text,tokens>>: struct(used, kept array<string>, skipped).
 
     A section that does not fit is left out and later, smaller ones may still fit, so
     this is no running sum.
     """
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("skipped"))
+    used = F.lit(used) if isinstance(used, int) else used
+    start = F.struct(used.cast("long").alias("used"), F.array().cast("array<string>").alias("kept"), F.lit(False).alias("skipped"))
 
     def step(acc: Column, s: Column) -> Column:
         fits = acc["used"] + s["tokens"] < budget
@@ -59,42 +60,108 @@ def gate(score: Column, text: Column, forced: Column | bool = False, threshold:
     return F.when((score >= threshold) & (F.coalesce(text, F.lit("")) != "") & ~forced, "local").otherwise("model")
 
 
+#: How many ends of edges are shown, and what frames the parts of a context.
+SHOWN = {"callers": 10, "callees": 10, "children": 15}
+BETWEEN = "\n\n---\n\n"
+CODE_START, CODE_END, CUT = "## Source Code\n\n```python\n", "\n```", "\n# ... (truncated)"
+LEAST_SOURCE = 100
+
+
+def _text(value: str) -> Column:
+    return F.coalesce(F.col(value), F.lit(""))
+
+
+def _listing(e: DataFrame, r: DataFrame, kind: str, near: str, far: str, label: str, title: str, line: Column) -> DataFrame:
+    """(id, label): a titled list of the first entities at the far ends, then how many more there are.
+
+    Only those shown are collected; the rest is counted.
+    """
+    most = SHOWN[label]
+    edges = r.filter(F.col("kind") == kind).select(F.col(near).alias("id"), F.col(far).alias("other"), "ord")
+    ends = edges.join(e.select(F.col("id").alias("other"), line.alias("line_text")), "other")
+    ranked = ends.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ord", "other"))).filter(F.col("n") <= most)
+    total = ends.groupBy("id").agg(F.count("*").alias("total"))
+    shown = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "line_text"))).alias("s"))
+    lines = F.array_join(F.transform("s", lambda x: x["line_text"]), "\n")
+    tail = F.when(F.col("total") > most, F.concat(F.lit("\n- ... and "), (F.col("total") - most).cast("string"), F.lit(" more"))).otherwise("")
+    return shown.join(total, "id").select("id", F.concat(F.lit(f"## {title}\n\n"), lines, tail).alias(label))
+
+
+def callers_listing(e: DataFrame, r: DataFrame) -> DataFrame:
+    signed = F.when(_text("signature") != "", F.concat(F.lit(" - `"), F.split("signature", "\\(")[0], F.lit("(...)`"))).otherwise("")
+    return _listing(e, r, "calls", "target_id", "source_id", "callers", "Called By", F.concat(F.lit("- `"), "qualified_name", F.lit("`"), signed))
+
+
 def sections(e: DataFrame, r: DataFrame) -> DataFrame:
-    """Per entity the texts of all sections: id, header, docstring, signature, source_code, parent, callers, callees, children."""
-    names = e.select(F.col("id").alias("other"), F.col("qualified_name").alias("other_name"))
-
-    def side(kind: str, near: str, far: str, label: str, most: int) -> DataFrame:
-        edges = r.filter(F.col("kind") == kind).select(F.col(near).alias("id"), F.col(far).alias("other"), "ord")
-        joined = edges.join(names, "other")
-        # only the first few are shown: the rest is counted, not collected
-        ranked = joined.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ord", "other"))).filter(F.col("n") <= most)
-        total = joined.groupBy("id").agg(F.count("*").alias("total"))
-        shown = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("other_name").alias("name")))).alias("s"))
-        text = F.array_join(F.transform("s", lambda x: F.concat(F.lit("- "), x["name"])), "\n")
-        tail = F.when(F.col("total") > most, F.concat(F.lit("\n... and "), (F.col("total") - most).cast("string"), F.lit(" more"))).otherwise("")
-        return shown.join(total, "id").select("id", F.concat(text, tail).alias(label))
-
-    header = F.concat(F.lit("# "), X.title_kind(F.col("kind")), F.lit(": "), F.col("qualified_name"))
-    out = e.select("id", "kind", header.alias("header"), "docstring", "signature", "source_code", "ord")
-    for kind, near, far, label, most in (("contains", "target_id", "source_id", "parent", 1), ("calls", "target_id", "source_id", "callers", 10), ("calls", "source_id", "target_id", "callees", 10), ("contains", "source_id", "target_id", "children", 15)):
-        out = out.join(side(kind, near, far, label, most), "id", "left")
-    return out
+    """Per entity the texts of all sections (null where there is none), its source code and docstring."""
+    last = F.col("line_end") if "line_end" in e.columns else F.col("line")
+    header = F.concat(F.lit("# "), X.title_kind(F.col("kind")), F.lit(": `"), "qualified_name", F.lit("`\n\n**File**: `"), "file", F.lit("`\n**Lines**: "), F.col("line").cast("string"), F.lit("-"), last.cast("string"))
+    description = F.when(_text("docstring") != "", F.concat(F.lit("## Description\n\n"), "docstring"))
+    signature = F.when(_text("signature") != "", F.concat(F.lit("## Signature\n\n```python\n"), "signature", F.lit("\n```")))
+    out = e.select("id", "kind", header.alias("header"), F.col("docstring").alias("doc"), F.col("source_code").alias("source"), description.alias("docstring"), signature.alias("signature"))
+    quote = F.when(_text("docstring") != "", F.concat(F.lit("\n> "), F.split("docstring", "\n")[0])).otherwise("")
+    above = F.concat(F.lit("## Parent Context\n\n**"), X.title_kind(F.col("kind")), F.lit("**: `"), "qualified_name", F.lit("`"), quote)
+    first = r.filter("kind = 'contains'").groupBy(F.col("target_id").alias("id")).agg(F.min_by("source_id", "ord").alias("p"))
+    parent = first.join(e.select(F.col("id").alias("p"), above.alias("parent")), "p").select("id", "parent")
+    callees = _listing(e, r, "calls", "source_id", "target_id", "callees", "Calls", F.concat(F.lit("- `"), "qualified_name", F.lit("`")))
+    children = _listing(e, r, "contains", "source_id", "target_id", "children", "Contains", F.concat(F.lit("- ["), "kind", F.lit("] `"), "name", F.lit("`")))
+    for side in (parent, callers_listing(e, r), callees, children):
+        out = out.join(side, "id", "left")
+    return out.withColumn("children", F.when(F.col("kind").isin("class", "module", "document"), F.col("children")))
+
+
+def _parts(names: list[str]) -> Column:
+    made = F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("text"), X.token_count(F.col(s)).cast("long").alias("tokens")) for s in names])
+    return F.filter(made, lambda s: s["text"].isNotNull())
+
+
+def _kept(parts: str, names: Column) -> Column:
+    return F.transform(F.filter(parts, lambda s: F.array_contains(names, s["name"])), lambda s: s["text"])
+
+
+def _source(most: Column) -> Column:
+    body = F.when(X.token_count(F.col("source")) > most, F.concat(X.truncate_tokens(F.col("source"), most), F.lit(CUT))).otherwise(F.col("source"))
+    return F.when(_text("source") != "", F.concat(F.lit(CODE_START), body, F.lit(CODE_END)))
 
 
 def synthesize(parts: DataFrame, task: str, budget: int = BUDGET) -> DataFrame:
     """Context of each entity for a task: id, text, tokens, included, truncated, sufficiency.
 
-    The header is always there; source code is cut to half the budget before it is tried.
+    The header is always there; then sections by priority while they fit, source code cut
+    to half the budget before it is tried.
     """
-    order = PRIORITIES[task]
-    source = X.truncate_tokens(F.col("source_code"), int(budget * SOURCE_SHARE))
-    cut = parts.withColumn("source_code", F.when(F.col("source_code").isNotNull(), source))
-    names = ["header", *order]
-    made = F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("text"), X.token_count(F.col(s)).cast("long").alias("tokens")) for s in names])
-    some = F.filter(made, lambda s: F.coalesce(s["text"], F.lit("")) != "")
-    folded = cut.withColumn("s", some).withColumn("f", fold(F.col("s"), budget))
-    kept = F.filter("s", lambda s: F.array_contains(F.col("f.kept"), s["name"]))
-    text = F.array_join(F.transform(kept, lambda s: s["text"]), "\n\n")
+    made = parts.withColumn("source_code", _source(F.lit(int(budget * SOURCE_SHARE)))).withColumn("s", _parts(PRIORITIES[task]))
+    folded = made.withColumn("f", fold(F.col("s"), budget, X.token_count(F.col("header"))))
+    text = F.array_join(F.concat(F.array("header"), _kept("s", F.col("f.kept"))), BETWEEN)
     out = folded.withColumn("text", text)
-    score = sufficiency(F.lit(task), F.col("f.kept"), F.array_contains(F.col("f.kept"), "source_code"), F.col("docstring"), F.length("text"))
+    score = sufficiency(F.lit(task), F.col("f.kept"), F.array_contains("f.kept", "source_code"), F.col("doc"), F.length("text"))
     return out.select("id", "text", F.col("f.used").alias("tokens"), F.array_join("f.kept", ",").alias("included"), F.col("f.skipped").alias("truncated"), score.alias("sufficiency"))
+
+
+def synthesize_fixed(parts: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """Context in fixed order without a task: id, text, tokens, included, truncated.
+
+    Description and signature where they fit; source code cut to what is left, if that is
+    more than ``LEAST_SOURCE``; then parent, callers, callees and children where they fit.
+    Only relations, or source code left out altogether, count as truncation.
+    """
+    top = parts.withColumn("s", _parts(["docstring", "signature"])).withColumn("f", fold(F.col("s"), budget, X.token_count(F.col("header"))))
+    left = F.lit(budget) - F.col("f.used") - X.token_count(F.lit(CODE_START + CODE_END))
+    code = top.withColumn("source_code", F.when(left > LEAST_SOURCE, _source(left)))
+    used = F.col("f.used") + F.coalesce(X.token_count(F.col("source_code")), F.lit(0))
+    rest = code.withColumn("u", F.when(F.col("source_code").isNotNull(), used).otherwise(F.col("f.used"))).withColumn("t", _parts(["parent", "callers", "callees", "children"])).withColumn("g", fold(F.col("t"), budget, F.col("u")))
+    relations = F.filter("t", lambda x: (x["name"] != "parent") & ~F.array_contains(F.col("g.kept"), x["name"]))
+    own = F.when(F.col("source_code").isNotNull(), F.array("source_code")).otherwise(F.array().cast("array<string>"))
+    text = F.array_join(F.concat(F.array("header"), _kept("s", F.col("f.kept")), own, _kept("t", F.col("g.kept"))), BETWEEN)
+    names = F.concat("f.kept", F.when(F.col("source_code").isNotNull(), F.array(F.lit("source_code"))).otherwise(F.array().cast("array<string>")), "g.kept")
+    cut = (F.size(relations) > 0) | (_text("source") != "") & F.col("source_code").isNull() | (F.col("g.used") >= budget)
+    return rest.select("id", text.alias("text"), F.col("g.used").alias("tokens"), F.array_join(names, ",").alias("included"), cut.alias("truncated"))
+
+
+def search_summary(found: DataFrame, query: str) -> DataFrame:
+    """One row of Markdown over the first matches (rows with ord), with previews of their docstrings."""
+    quote = F.when(_text("docstring") != "", F.concat(F.lit("> "), X.preview(F.col("docstring"), 200), F.lit("\n"))).otherwise("")
+    item = F.concat(F.lit("## "), X.title_kind(F.col("kind")), F.lit(": `"), "qualified_name", F.lit("`\nFile: `"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("`\n"), quote)
+    rows = found.agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("text")))).alias("s"))
+    text = F.concat(F.lit(f"# Search Results for '{query}'\n\n"), F.array_join(F.transform("s", lambda x: x["text"]), "\n"))
+    return rows.select(F.when(F.size("s") == 0, F.lit(f"No entities found matching '{query}'")).otherwise(text).alias("text"))

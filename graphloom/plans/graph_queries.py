@@ -230,12 +230,10 @@ def prune_24h(spark, d):
 # --- context and export -----------------------------------------------------------------------------
 
 
-@query(f"""{KG_SQL}, x AS (SELECT r.target_id AS id, e.qualified_name AS n, row_number() OVER (PARTITION BY r.target_id ORDER BY r.ord, e.id) AS k, count(*) OVER (PARTITION BY r.target_id) AS total FROM kg_relationships r JOIN kg_entities e ON e.id = r.source_id WHERE r.kind = 'calls')
- SELECT id, string_agg('- ' || n, chr(10) ORDER BY k) FILTER (k <= 10) || CASE WHEN any_value(total) > 10 THEN chr(10) || '... and ' || (any_value(total) - 10) || ' more' ELSE '' END AS callers FROM x WHERE starts_with(id, 'part::') GROUP BY id""")
+@query(f"""{KG_SQL}, x AS (SELECT r.target_id AS id, '- `' || e.qualified_name || '` - `' || split_part(e.signature, '(', 1) || '(...)`' AS n, row_number() OVER (PARTITION BY r.target_id ORDER BY r.ord, e.id) AS k, count(*) OVER (PARTITION BY r.target_id) AS total FROM kg_relationships r JOIN kg_entities e ON e.id = r.source_id WHERE r.kind = 'calls')
+ SELECT id, '## Called By' || chr(10) || chr(10) || string_agg(n, chr(10) ORDER BY k) FILTER (k <= 10) || CASE WHEN any_value(total) > 10 THEN chr(10) || '- ... and ' || (any_value(total) - 10) || ' more' ELSE '' END AS callers FROM x GROUP BY id""")
 def format_callers(spark, d):
-    e, r = entities(spark, d), relationships(spark, d)
-    parts = e.filter(F.startswith("id", F.lit("part::")))
-    return context.sections(e, r.filter("kind = 'calls'")).join(parts.select("id"), "id", "left_semi").filter("callers is not null").select("id", "callers")
+    return context.callers_listing(entities(spark, d), relationships(spark, d))
 
 
 @query(f"""{KG_SQL} SELECT '## ' || file || chr(10) || string_agg('- ' || kind || ' ' || qualified_name || CASE WHEN coalesce(docstring, '') <> '' THEN ': ' || docstring ELSE '' END, chr(10) ORDER BY line, ord) AS markdown, file FROM kg_entities WHERE kind IN ('function','class','method') GROUP BY file""")

@@ -108,7 +108,23 @@ def test_limits_are_strict(spark):
 def test_context(spark):
     e = spark.createDataFrame([("a", "function", "a", "m.a", "f", 1, "Doc " * 20, "def a()", "x = 1 " * 2000, 0)] + [(f"c{k:02d}", "function", "c", f"m.c{k:02d}", "f", k, None, None, None, k) for k in range(1, 13)], E)
     r = spark.createDataFrame([(f"c{k:02d}", "a", "calls", k) for k in range(1, 13)], R)
-    made = {x.id: x for x in context.synthesize(context.sections(e, r), "debug", 300).collect()}
+    parts = context.sections(e, r)
+    made = {x.id: x for x in context.synthesize(parts, "debug", 300).collect()}
     a = made["a"]
-    assert a.included.startswith("header,source_code,callers") and "... and 2 more" in a.text and a.tokens < 300 and not a.truncated
-    assert made["c01"].included == "header,callees" and 0 < made["c01"].sufficiency < 0.3
+    assert a.included.startswith("source_code,callers") and "- ... and 2 more" in a.text and a.tokens < 300 and "# ... (truncated)" in a.text
+    assert made["c01"].included == "callees" and 0 < made["c01"].sufficiency < 0.3
+    fixed = {x.id: x for x in context.synthesize_fixed(parts, 400).collect()}
+    assert fixed["a"].included.startswith("docstring,signature,source_code") and fixed["a"].truncated
+    assert fixed["c01"].included == "callees" and not fixed["c01"].truncated
+    small = {x.id: x for x in context.synthesize_fixed(parts, 140).collect()}["a"]
+    assert "source_code" not in small.included and small.truncated
+    assert context.search_summary(e.filter("id = 'a'"), "a").first().text.startswith("# Search Results for 'a'\n\n## Function: `m.a`")
+    assert context.search_summary(e.filter("id = 'none'"), "zz").first().text == "No entities found matching 'zz'"
+
+
+def test_fold_skips_large_and_keeps_later_small(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([([("a", "", 5), ("big", "", 90), ("b", "", 4)],)], "s array<struct<name:string,text:string,tokens:long>>")
+    f = rows.select(context.fold(F.col("s"), 10).alias("f")).first().f
+    assert (f.used, f.kept, f.skipped) == (9, ["a", "b"], True)

@@ -128,3 +128,16 @@ def test_fold_skips_large_and_keeps_later_small(spark):
     rows = spark.createDataFrame([([("a", "", 5), ("big", "", 90), ("b", "", 4)],)], "s array<struct<name:string,text:string,tokens:long>>")
     f = rows.select(context.fold(F.col("s"), 10).alias("f")).first().f
     assert (f.used, f.kept, f.skipped) == (9, ["a", "b"], True)
+
+
+def test_changelog_entry_and_local_answer(spark):
+    from pyspark.sql import functions as F
+
+    from graphloom.operators import answer
+
+    lines = spark.createDataFrame([("a1|Ann|d|feat(core): joins",), ("b2|Bob|d|fix: rank",), ("c3|Ann|d|tidy",)], "value string")
+    text = answer.changelog_entry(history.parse_commits(lines), "v1..HEAD", "2024-01-31").first().markdown
+    assert "**Focus:** Bug Fixes" in text and "* **core:** joins (`a1`)" in text and text.index("🚀 Features") < text.index("🐛 Fixes") < text.index("Other Changes") and "medium" in text
+    assert answer.changelog_entry(history.parse_commits(lines.limit(0)), "x", "y").count() == 0
+    row = spark.range(1).select(answer.local_answer(F.lit("locate"), F.lit("ctx")).alias("a"), answer.prompt(F.lit("nope")).alias("p")).first()
+    assert row.a == "**Found in codebase:**\n\nctx" and row.p == answer.PROMPTS["general"]

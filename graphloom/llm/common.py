@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,11 +30,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors."""
+def saved(df: DataFrame, name: str, width: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors.
+
+    ``width`` bounds the number of files where the number of rows is known to be small.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(width) if width else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path  # for discard()
     return out
@@ -72,34 +76,74 @@ def small_batches(df: DataFrame, rows: int) -> None:
 # --- connected components -------------------------------------------------------------------
 
 
+EDGES_A_TASK = 250_000
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (a, b) are stars: each a has one b, and no b is an a."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).union(edges.select(F.col("b").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    return ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("root").alias("r")).filter("c > 1 or (c = 1 and r = 1)").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of ``edges(a long, b long)`` by alternating large-star and small-star.
 
     Returns ``(node long, root long)`` for every node of an edge; ``root`` is the smallest
     node of the component. Self-loops and repeated edges are harmless. Every round joins
     minima, which are pre-aggregated, back to the edges: a hub's edges are an ordinary
-    skewed join that the engine splits, never one task's group.
+    skewed join that the engine splits, never one task's group. The rounds end when all
+    components are stars around their smallest node. Tables of edges are written in as
+    many files as their number calls for.
     """
-    spark = edges.sparkSession
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    mark = None
-    while True:
+    while not _settled(now):
+        width = 1 + now.count() // EDGES_A_TASK
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(low, both["a"] == low["k"]).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        large = saved(large, name)
+        large = saved(large, name, width)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        step = saved(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name)
+        step = saved(small.union(low.select("a", F.col("m").alias("b"))).distinct(), name, width)
         discard(large)
         discard(now)
         now = step
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            break
-        mark = seen
-    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return saved(out.union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), name)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+# --- rows of a group together, without a call for each group ------------------------------------
+
+
+def group_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by integer ``keys``, with the start of every group and the end.
+
+    A group that goes on in the next batch is held back until it is whole, so memory is
+    bounded by the largest group.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            c = table[k].to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.append(np.where(new)[0], table.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and all(batch.column(k)[batch.num_rows - 1].as_py() == held[0].column(k)[0].as_py() for k in keys):
+            held.append(batch)  # all of one group
+            continue
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        at = cut(table)
+        if len(at) > 2:
+            yield table.slice(0, at[-2]), at[:-1]
+        held = table.slice(at[-2]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, cut(table)
 
 
 # --- blocked comparison inside groups ---------------------------------------------------------

@@ -3,16 +3,17 @@
 1. Every document becomes the set of its 5-word shingles (64-bit hashes); 128 universal
    hash minima are its signature. Documents with equal sets are one class, represented
    by the smallest id, from here on.
-2. Bands of the signature are bucket keys. Round by round, candidate pairs are drawn from
-   the buckets, confirmed on full shingle sets (made anew from the texts of the documents
-   concerned), and the components of all links found so far are recomputed:
-   first each document with the one smallest-id bucket partner it shares most bands with;
-   then, in buckets whose members are not yet in one component, the most similar
-   partners in other components; at last all partners in other components.
-   Pairs within a component need no confirmation, so a group of copies costs about one
-   comparison for each member, and no link between components is lost.
-3. In rounds after the first, signatures are compared in blocks of bounded size; a pair
-   goes on to confirmation where its estimated similarity is at least ``FLOOR``.
+2. Bands of the signature are bucket keys; buckets of one document are dropped at once.
+   Each document is confirmed against the one smallest-id bucket partner it shares most
+   bands with, on full shingle sets made anew from the texts of the documents concerned.
+   Alternating large-star and small-star gives the components of these links.
+3. Buckets whose members are then in more than one component are compared in full, in
+   blocks of bounded size: signatures first, and the documents of every pair in different
+   components whose estimated similarity is at least ``FLOOR`` get their full sets and
+   are compared block by block once more. A pair is looked at in the first band it
+   shares only. Links are all that leaves a block, never pairs, so neither a group of
+   copies nor a crowd of half-similar documents multiplies rows, and no link between
+   components is lost.
 
 With 32 bands of 4 minima a pair at the limit of 0.75 shares no band with probability
 5e-6; its estimate falls below FLOOR = 0.6 with probability 4e-5.
@@ -24,20 +25,18 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, saved, small_batches, tiles
+from .common import components, discard, group_runs, saved, small_batches, tiles
 
 WORDS = 5
 PERCENT = 75  # link where 100 * intersection >= PERCENT * union
 MINIMA, BANDS = 128, 32
 FLOOR = 0.6
 BLOCK = 1024
-CLOSEST = 3
 BATCH_ROWS = 500
 CACHE_WORDS = 500_000
 
@@ -151,34 +150,86 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int = P
     return out
 
 
-def _apart(buckets: DataFrame, reps: DataFrame, comps: DataFrame, closest: int | None) -> DataFrame:
-    """Candidate pairs in different components, from buckets that hold more than one component."""
-    at = buckets.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+TILE = ("key", "ta", "tb")
+
+
+def _in_tiles(rows: DataFrame, run, schema: str) -> DataFrame:
+    return rows.repartition(*TILE).sortWithinPartitions(*TILE, "id").mapInArrow(run, schema)
+
+
+def _close_pairs(table: pa.Table, lo: int, hi: int, columns: dict[str, np.ndarray], sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of one tile: row i, rows j in other components that may be similar, and the estimates; each pair in its first band only."""
+    mine, roots = columns["mine"][lo:hi], columns["root"][lo:hi]
+    ta, tb, band = columns["ta"][lo], columns["tb"][lo], columns["band"][lo]
+    first, second = np.where(mine == ta)[0] + lo, np.where(mine == tb)[0] + lo
+    for i in first:
+        others = second[roots[second - lo] != columns["root"][i]]
+        if ta == tb:
+            others = others[others > i]
+        if len(others):
+            same = sigs[others] == sigs[i]
+            est = same.mean(1)
+            bands = same.reshape(len(others), BANDS, -1).all(2)
+            keep = (est >= FLOOR) & bands[:, band] & (bands.argmax(1) == band)
+            if keep.any():
+                yield i, others[keep], est[keep]
+
+
+def _unpacked(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    columns = {c: table[c].to_numpy() for c in ("id", "root", "mine", "ta", "tb", "band")}
+    return columns, np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
+
+
+def _flagged(members: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of tiles that have a partner in another component to be compared with: tile, band, mine, id, root, sig."""
+    at = members.select("key", "band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rows = tiles(at.join(mixed, "key", "left_semi"), "key", "id", BLOCK).join(reps.select("id", "sig"), "id")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, roots = group["id"].to_numpy(), group["root"].to_numpy()
-        sigs = np.stack([np.frombuffer(s, np.uint32) for s in group["sig"]])
-        mine, ta, tb = group["mine"].to_numpy(), group["ta"].iat[0], group["tb"].iat[0]
-        first, second = np.where(mine == ta)[0], np.where(mine == tb)[0]
-        out = []
-        for i in first:
-            others = second[roots[second] != roots[i]]
-            if ta == tb:
-                others = others[others > i]
-            if len(others):
-                est = (sigs[others] == sigs[i]).mean(1)
-                for j in others[est >= FLOOR]:
-                    out.append((ids[i], ids[j], roots[i], roots[j], float((sigs[i] == sigs[j]).mean())))
-        out = pd.DataFrame(out, columns=["a", "b", "ra", "rb", "est"])
-        if closest and len(out):
-            best = out.sort_values(["est", "a", "b"], ascending=[False, True, True])
-            keep = (best.groupby(["a", "rb"]).cumcount() < closest) & (best.groupby(["b", "ra"]).cumcount() < closest)
-            out = best[keep]
-        return pd.DataFrame({"a": out[["a", "b"]].min(axis=1).astype("int64"), "b": out[["a", "b"]].max(axis=1).astype("int64")})
-
-    return rows.groupBy("key", "ta", "tb").applyInPandas(run, "a long, b long").distinct()
+    rows = tiles(at.join(mixed, "key", "left_semi"), "key", "id", BLOCK).join(reps.select("id", "sig"), "id").select(*TILE, "band", "mine", "id", "root", "sig")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in group_runs(batches, TILE):
+            columns, sigs = _unpacked(table)
+            hit = np.zeros(table.num_rows, bool)
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                for i, others, _ in _close_pairs(table, lo, hi, columns, sigs):
+                    hit[i] = True
+                    hit[others] = True
+            if hit.any():
+                yield from table.filter(pa.array(hit)).to_batches()
+
+    return saved(_in_tiles(rows, run, "key long, ta int, tb int, band int, mine int, id long, root long, sig binary"), "flagged")
+
+
+def _between(flagged: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, found by comparing full sets within tiles; those that join nothing new in a tile are left out."""
+    sets = saved(_sets_of(docs, flagged.select("id").distinct(), reps.select("id", "set_key")).select("id", "words"), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in group_runs(batches, TILE):
+            columns, sigs = _unpacked(table)
+            words, ids, a, b = table["words"], columns["id"], [], []
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                joined: dict[int, int] = {}
+
+                def top(r: int, joined=joined) -> int:
+                    while r in joined:
+                        r = joined[r]
+                    return r
+
+                for i, others, est in _close_pairs(table, lo, hi, columns, sigs):
+                    own = np.frombuffer(words[int(i)].as_buffer(), np.uint64)
+                    for j in others[np.argsort(-est, kind="stable")]:
+                        p, q = top(int(columns["root"][i])), top(int(columns["root"][j]))
+                        if p != q and similar(own, np.frombuffer(words[int(j)].as_buffer(), np.uint64), percent):
+                            joined[p] = q
+                            a.append(int(ids[i]))
+                            b.append(int(ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    small_batches(docs, BATCH_ROWS)
+    out = saved(_in_tiles(flagged.join(sets, "id").select(*TILE, "band", "mine", "id", "root", "sig", "words"), run, "a long, b long"), "links")
+    discard(sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -195,22 +246,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     band = 4 * MINIMA // BANDS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.expr("sig").substr(k * band + 1, F.lit(band)), k))
     # an id that repeats with other texts stands for several sets: those are linked as one node
-    buckets = saved(reps.select("id", F.explode(keys).alias("key")).distinct(), "buckets")
+    buckets = reps.select("id", F.posexplode(keys).alias("band", "key")).distinct()
     smallest = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    shared = buckets.join(smallest, "key").filter("a < id").groupBy("a", "id").agg(F.count("*").alias("n"))
+    members = saved(buckets.join(smallest, "key").select("key", "band", "id", "a"), "buckets")
+    shared = members.filter("a < id").groupBy("a", "id").agg(F.count("*").alias("n"))
     first = saved(shared.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
 
     copies = known.join(reps.select("set_key", F.col("id").alias("rep")), "set_key").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = confirm(first, docs, reps, percent)
-    tried = first
     comps = components(links)
-    for closest in (CLOSEST, None):
-        more = _apart(buckets, reps, comps, closest)
-        more = saved(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            found = confirm(more, docs, reps, percent)
-            links, tried = links.union(found), tried.union(more)
-            comps = components(links)
-    whole = components(comps.select(F.col("root").alias("a"), F.col("node").alias("b")).union(copies))
+    flagged = _flagged(members, reps, comps)
+    if not flagged.isEmpty():
+        links = links.union(_between(flagged, docs, reps, percent))
+    whole = components(links.union(copies))
     out = rows.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

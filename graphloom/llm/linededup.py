@@ -223,19 +223,50 @@ def _near(x: str, y: str):
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS
 
 
-def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The occurrences of all lines, and (node, root) for the nodes that are in a group with others."""
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, node, sim, a, sa): the rows of keys that more than one node has, each with the key's first node.
+
+    One pass over rows sorted by key; of a key that goes on from batch to batch only its
+    first node is remembered, so a very common key costs no memory.
+    """
+    names = ["key", "node", "sim", "a", "sa"]
+    small_batches(keyed, 20_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held = (none, none, none)  # the last row, while it is the only one of its key
+        begun = None  # (key, node, sim) of the first row of a key that goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, sim = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            first, first_sim, many = node[start], sim[start], size > 1
+            if begun is not None and begun[0] == key[0]:
+                first[0], first_sim[0], many[0] = begun[1], begun[2], True
+            if many[-1]:
+                begun, held = (key[-1], first[-1], first_sim[-1]), (none, none, none)
+            else:
+                begun, held = None, (key[-1:], node[-1:], sim[-1:])
+            rows = np.repeat(many, size)
+            columns = [key[rows], node[rows], sim[rows], np.repeat(first, size)[rows], np.repeat(first_sim, size)[rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The occurrences of all lines; the distinct lines with first place and number; (node, root) of lines in a group with others."""
     lines = saved(occurrences(docs), "occurrences")
-    place = F.struct("doc_id", "text_key", "line_no")
-    nodes = saved(lines.groupBy("node").agg(F.min("sim").alias("sim"), F.min(place).alias("at")).select("node", "sim", "at.*"), "nodes")
-    places = nodes.drop("sim")
+    place = F.struct("doc_id", "line_no", "text_key")
+    nodes = saved(lines.groupBy("node", "second").agg(F.min("sim").alias("sim"), F.min(place).alias("at"), F.count("*").alias("n")), "nodes")
+    places = nodes.select("node", "at.*")
     keys = [
         F.xxhash64(F.lit(k), *[F.shiftrightunsigned("sim", CUTS[i]).bitwiseAND(F.lit((1 << (CUTS[i + 1] - CUTS[i])) - 1)) for i in pair])
         for k, pair in enumerate(combinations(range(len(CUTS) - 1), 2))
     ]
-    at = nodes.select("node", "sim", F.explode(F.array(*keys)).alias("key"))
-    shared = at.groupBy("key").agg(F.min(F.struct("node", "sim")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("first.node").alias("a"), F.col("first.sim").alias("sa"))
-    members = saved(at.join(shared, "key"), "buckets")  # only buckets of two nodes or more
+    members = saved(_shared(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "sim")), "buckets")
     first = saved(members.filter("node <> a").filter(_near("sim", "sa")).select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = confirm(first, docs, places, similarity)
     roots = components(links, "lines")
@@ -247,7 +278,7 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     rest = saved(rest.join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         roots = components(links.union(confirm(rest, docs, places, similarity)), "lines")
-    return lines, roots
+    return lines, nodes, roots
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -259,13 +290,12 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     that repeat doc_id and text are one document. A document whose lines all go keeps an
     empty text. An empty table gives no rows.
     """
-    lines, roots = line_groups(docs, similarity)
-    at = lines.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-    # an equal line is one group; ``second`` tells apart lines whose 64-bit nodes are equal by chance
-    at = at.withColumn("second", F.when(F.col("root").isNull(), F.col("second")).otherwise(F.lit(0)))
-    place = F.struct("doc_id", "line_no", "text_key")
-    firsts = at.groupBy("group", "second").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("group", "second", "first")
-    gone = at.join(firsts, ["group", "second"]).filter(place != F.col("first")).select("doc_id", "text_key", "line_no").distinct()
+    lines, nodes, roots = line_groups(docs, similarity)
+    # a line that others are like is kept at the group's first place, one that only repeats at its own
+    grouped = nodes.join(roots, "node").select("node", "second", "root", "at")
+    firsts = grouped.groupBy("root").agg(F.min("at").alias("first"))
+    active = grouped.join(firsts, "root").select("node", "second", "first").union(nodes.filter("n > 1").join(roots.select("node"), "node", "left_anti").select("node", "second", F.col("at").alias("first")))
+    gone = lines.join(active, ["node", "second"]).filter(F.struct("doc_id", "line_no", "text_key") != F.col("first")).select("doc_id", "text_key", "line_no").distinct()
     drops = gone.groupBy(F.col("doc_id").alias("drop_id_"), F.col("text_key").alias("drop_key_")).agg(F.collect_list("line_no").alias("drop_lines_"))
     joined = docs.join(drops, (F.col("doc_id") == F.col("drop_id_")) & (F.xxhash64("text") == F.col("drop_key_")), "left")
     parts = F.split("text", "\n", -1)

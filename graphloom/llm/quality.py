@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> AttentionModel:
     y = found["y"].to_numpy()
     if len(np.unique(y)) < 2:
         return AttentionModel(constant=0.5 if not len(y) else 0.01 + 0.98 * float(y[0]))
-    x, counts = encode(found["text"].tolist())
+    parts = [encode(some) for some in _bounded(found["text"].tolist(), 500_000)]
+    x, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
     return AttentionModel().fit(x, counts, y)
 
 

@@ -16,7 +16,7 @@ bounded memory. Tokens are separated by white space.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -159,35 +159,49 @@ class SpanTagger:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     def fit(self, texts: list[str], y: np.ndarray) -> SpanTagger:
-        docs = [list(chains(t)) for t in texts]
-        known = {token: features(token) for token in {token for d in docs for chain in d for token in chain}}
-        of, size, met = [Counter(), Counter()], [0, 0], set()
-        for d, label in zip(docs, y, strict=True):
-            tokens = [token for chain in d for token in chain]
-            runs = {hash(tuple(tokens[i : i + 5])) for i in range(max(len(tokens) - 4, 1))}
-            if len(runs - met) * 2 >= len(runs):  # near copies of a text count once
-                size[label] += 1
-                of[label].update({f for token in set(tokens) for f in known[token]})
-            met |= runs
-        total = of[0] + of[1]
-        kept = sorted(f for f, n in total.most_common(MAX_FEATURES) if n >= LEAST_DOCS)
-        index = {f: i for i, f in enumerate(kept)}
-        least, sure, share = max(LEAST_DOCS, SEED_SHARE * size[1]), np.log(max(len(kept), 1)) + 3, (size[1] + 0.5) / (sum(size) + 1)
-        seeds = {f for f in kept if of[1][f] >= least and np.log((of[1][f] + 0.1) / share) - np.log((of[0][f] + 0.1) / (1 - share)) >= SEED_ODDS and _surprise(of[1][f], of[0][f], share) >= sure}
         vocab: dict[str, int] = {}
-        ids, counts, truth = [], [], []
-        for d, label in zip(docs, y, strict=True):
-            for chain in d:
+        flat, counts, of_chain = array("i"), [], []
+        for d, text in enumerate(texts):
+            for chain in chains(text):
+                flat.extend([vocab.setdefault(t, len(vocab)) for t in chain])
                 counts.append(len(chain))
-                for token in chain:
-                    ids.append(vocab.setdefault(token, len(vocab)))
-                    truth.append(label)
-        seeded = np.array([any(f in seeds for f in known[t]) for t in vocab], bool)
-        ids, counts, truth = np.array(ids), np.array(counts), np.array(truth, bool)
-        truth &= seeded[ids]
-        lists = [[index[f] for f in known[t] if f in index] for t in vocab]
-        row = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
-        col = np.array([i for v in lists for i in v], np.int64)
+                of_chain.append(d)
+        ids, counts = np.array(flat, np.int64), np.array(counts, np.int64)
+        of_token = np.repeat(np.array(of_chain, np.int64), counts)
+        names: dict[str, int] = {}
+        col, size = array("i"), array("i")
+        for token in vocab:
+            found = features(token)
+            col.extend([names.setdefault(f, len(names)) for f in found])
+            size.append(len(found))
+        col, size = np.array(col, np.int64), np.array(size, np.int64)
+        ends = np.cumsum(size)
+        # documents of each class that have a feature; near copies of a text count once
+        fresh = _fresh(ids, of_token, len(texts))
+        seen = np.zeros((2, len(names)), np.int64)
+        starts = np.searchsorted(of_token, np.arange(len(texts) + 1))
+        for d in np.where(fresh)[0]:
+            own = np.unique(ids[starts[d] : starts[d + 1]])
+            if len(own):
+                n = size[own]
+                at = np.repeat(ends[own] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                seen[y[d], np.unique(col[at])] += 1
+        clean, toxic = seen
+        total = clean + toxic
+        kept = np.argsort(-total, kind="stable")[:MAX_FEATURES]
+        kept = np.sort(kept[total[kept] >= LEAST_DOCS])
+        docs = np.bincount(y[fresh], minlength=2)
+        least, sure, share = max(LEAST_DOCS, SEED_SHARE * docs[1]), np.log(max(len(kept), 1)) + 3, (docs[1] + 0.5) / (docs.sum() + 1)
+        odds = np.log((toxic + 0.1) / share) - np.log((clean + 0.1) / (1 - share))
+        seed = np.zeros(len(names), bool)
+        for f in kept[(toxic[kept] >= least) & (odds[kept] >= SEED_ODDS)]:
+            seed[f] = _surprise(int(toxic[f]), int(clean[f]), share) >= sure
+        row = np.repeat(np.arange(len(vocab)), size)
+        seeded = np.bincount(row, weights=seed[col], minlength=len(vocab)) > 0
+        truth = (y[of_token] == 1) & seeded[ids]
+        index = np.full(len(names), -1, np.int64)
+        index[kept] = np.arange(len(kept))
+        row, col = row[index[col] >= 0], index[col][index[col] >= 0]
         last = np.cumsum(counts) - 1
         inner = np.ones(len(ids), bool)
         inner[last] = False
@@ -206,13 +220,33 @@ class SpanTagger:
             state[1] = 0.99 * state[1] + 0.01 * grad**2
             move = RATE * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-6)
             w, bias, trans = w + move[: len(kept)], bias + move[len(kept)], trans + move[len(kept) + 1 :].reshape(2, 2)
-        self.weights = {f: float(v) for f, v in zip(kept, w, strict=True) if abs(v) > 1e-3}
+        label = list(names)
+        self.weights = {label[f]: float(v) for f, v in zip(kept, w, strict=True) if abs(v) > 1e-3}
+        del names, label, vocab
         self.bias, self.trans = float(bias), trans
         p, sizes = self.marginals(texts)
         self.document = _logistic(evidence(p, sizes), y)
+        self.emissions = None
         return self
 
 
+def _fresh(ids: np.ndarray, of_token: np.ndarray, n: int) -> np.ndarray:
+    """Whether at least half of a document's runs of five tokens occur in no earlier document."""
+    with np.errstate(over="ignore"):
+        h = np.zeros(max(len(ids) - 4, 0), np.int64)
+        for k in range(5):
+            h = h * 1_000_003 + ids[k : len(h) + k]
+    whole = of_token[: len(h)] == of_token[4:] if len(h) else np.zeros(0, bool)
+    h, d = h[whole], of_token[: len(h)][whole]
+    order = np.lexsort((d, h))
+    h, d = h[order], d[order]
+    new_run = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    once = new_run | np.r_[True, d[1:] != d[:-1]] if len(h) else new_run
+    total = np.bincount(d[once], minlength=n)
+    first = np.bincount(d[new_run], minlength=n)
+    return 2 * first >= total
+
+
 def _surprise(k: int, other: int, share: float) -> float:
     """Log-likelihood gain of k toxic texts among k + other over the overall share of toxic ones."""
     n = k + other

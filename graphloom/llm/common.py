@@ -146,6 +146,39 @@ def group_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iter
         yield table, cut(table)
 
 
+def shared_keys(keyed: DataFrame, value: str = "value", first_value: str = "first_value") -> DataFrame:
+    """Of (key, node, value), all long: the rows of keys that more than one row has, with the key's first node ``a`` and its value.
+
+    One pass over rows sorted by key; of a key that goes on from batch to batch only its
+    first node is remembered, so a very common key costs no memory.
+    """
+    names = ["key", "node", value, "a", first_value]
+    small_batches(keyed, 20_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        held = (none, none, none)  # the last row, while it is the only one of its key
+        begun = None  # (key, node, val) of the first row of a key that goes on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, node, val = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            first, first_val, many = node[start], val[start], size > 1
+            if begun is not None and begun[0] == key[0]:
+                first[0], first_val[0], many[0] = begun[1], begun[2], True
+            if many[-1]:
+                begun, held = (key[-1], first[-1], first_val[-1]), (none, none, none)
+            else:
+                begun, held = None, (key[-1:], node[-1:], val[-1:])
+            rows = np.repeat(many, size)
+            columns = [key[rows], node[rows], val[rows], np.repeat(first, size)[rows], np.repeat(first_val, size)[rows]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
 # --- blocked comparison inside groups ---------------------------------------------------------
 
 

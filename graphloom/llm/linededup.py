@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, saved, small_batches
+from .common import components, discard, saved, shared_keys, small_batches
 
 SIMILARITY = 0.9
 MOST_BITS = 3
@@ -223,39 +223,6 @@ def _near(x: str, y: str):
     return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """(key, node, sim, a, sa): the rows of keys that more than one node has, each with the key's first node.
-
-    One pass over rows sorted by key; of a key that goes on from batch to batch only its
-    first node is remembered, so a very common key costs no memory.
-    """
-    names = ["key", "node", "sim", "a", "sa"]
-    small_batches(keyed, 20_000)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        held = (none, none, none)  # the last row, while it is the only one of its key
-        begun = None  # (key, node, sim) of the first row of a key that goes on
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, node, sim = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            size = np.diff(np.r_[start, len(key)])
-            first, first_sim, many = node[start], sim[start], size > 1
-            if begun is not None and begun[0] == key[0]:
-                first[0], first_sim[0], many[0] = begun[1], begun[2], True
-            if many[-1]:
-                begun, held = (key[-1], first[-1], first_sim[-1]), (none, none, none)
-            else:
-                begun, held = None, (key[-1:], node[-1:], sim[-1:])
-            rows = np.repeat(many, size)
-            columns = [key[rows], node[rows], sim[rows], np.repeat(first, size)[rows], np.repeat(first_sim, size)[rows]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
-
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} long" for n in names))
-
-
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The occurrences of all lines; the distinct lines with first place and number; (node, root) of lines in a group with others."""
     lines = saved(occurrences(docs), "occurrences")
@@ -266,7 +233,7 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
         F.xxhash64(F.lit(k), *[F.shiftrightunsigned("sim", CUTS[i]).bitwiseAND(F.lit((1 << (CUTS[i + 1] - CUTS[i])) - 1)) for i in pair])
         for k, pair in enumerate(combinations(range(len(CUTS) - 1), 2))
     ]
-    members = saved(_shared(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "sim")), "buckets")
+    members = saved(shared_keys(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "sim"), "sim", "sa"), "buckets")
     first = saved(members.filter("node <> a").filter(_near("sim", "sa")).select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = confirm(first, docs, places, similarity)
     roots = components(links, "lines")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, group_runs, saved, small_batches, tiles
+from .common import components, discard, group_runs, saved, shared_keys, small_batches, tiles
 
 WORDS = 5
 PERCENT = 75  # link where 100 * intersection >= PERCENT * union
@@ -100,6 +100,21 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash of a sorted set: what full sets are compared by.
+
+    Two unequal shingles of a pair of sets agree in them with probability |A| * |B| / 2^48.
+    """
+    return found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(raw: pa.Scalar) -> np.ndarray:
+    parts = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, :6] = parts
+    return out.view(np.uint64).ravel()
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set, null if empty) and sig of every row."""
     small_batches(docs, BATCH_ROWS)
@@ -126,7 +141,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             made = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set_key", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["id", "set_key", "words"])
 
     made = wanted.mapInArrow(run, "id long, set_key binary, words binary")
     return made.join(keys, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"])
@@ -142,7 +157,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int = P
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wa, wb = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(wa, wb, strict=True)]
+            keep = [similar(unpacked(x), unpacked(y), percent) for x, y in zip(wa, wb, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     out = saved(both.mapInArrow(run, "a long, b long"), "links")
@@ -217,10 +232,10 @@ def _between(flagged: DataFrame, docs: DataFrame, reps: DataFrame, percent: int)
                     return r
 
                 for i, others, est in _close_pairs(table, lo, hi, columns, sigs):
-                    own = np.frombuffer(words[int(i)].as_buffer(), np.uint64)
+                    own = unpacked(words[int(i)])
                     for j in others[np.argsort(-est, kind="stable")]:
                         p, q = top(int(columns["root"][i])), top(int(columns["root"][j]))
-                        if p != q and similar(own, np.frombuffer(words[int(j)].as_buffer(), np.uint64), percent):
+                        if p != q and similar(own, unpacked(words[int(j)]), percent):
                             joined[p] = q
                             a.append(int(ids[i]))
                             b.append(int(ids[j]))
@@ -246,9 +261,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     band = 4 * MINIMA // BANDS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.expr("sig").substr(k * band + 1, F.lit(band)), k))
     # an id that repeats with other texts stands for several sets: those are linked as one node
-    buckets = reps.select("id", F.posexplode(keys).alias("band", "key")).distinct()
-    smallest = buckets.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("key", "a")
-    members = saved(buckets.join(smallest, "key").select("key", "band", "id", "a"), "buckets")
+    keyed = reps.select(F.posexplode(keys).alias("band", "key"), "id").select("key", F.col("id").alias("node"), F.col("band").cast("long").alias("band"))
+    members = saved(shared_keys(keyed, "band", "b0").select("key", F.col("band").cast("int").alias("band"), F.col("node").alias("id"), "a"), "buckets")
     shared = members.filter("a < id").groupBy("a", "id").agg(F.count("*").alias("n"))
     first = saved(shared.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
 

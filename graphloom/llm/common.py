@@ -6,6 +6,7 @@ Temporary tables go to the folder that the session names in ``spark.checkpoint.d
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -30,14 +31,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, upon which the shuffle files of finished steps are deleted."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def saved(df: DataFrame, name: str, width: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors.
 
     ``width`` bounds the number of files where the number of rows is known to be small.
+    Else the step counts as large, and the shuffle files behind it are released.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     (df.coalesce(width) if width else df).write.option("compression", "zstd").parquet(path)
+    if width is None:
+        release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path  # for discard()
     return out

@@ -243,6 +243,8 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     right = left.select("key", F.col("node").alias("b"), F.col("sim").alias("sb"), F.col("root").alias("rb"))
     rest = left.join(right, "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near("sim", "sb")).select(F.col("node").alias("a"), "b").distinct()
     rest = saved(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(left)
+    discard(members)
     if not rest.isEmpty():
         roots = components(links.union(confirm(rest, docs, places, similarity)), "lines")
     return lines, nodes, roots

@@ -270,6 +270,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = confirm(first, docs, reps, percent)
     comps = components(links)
     flagged = _flagged(members, reps, comps)
+    discard(members)
     if not flagged.isEmpty():
         links = links.union(_between(flagged, docs, reps, percent))
     whole = components(links.union(copies))

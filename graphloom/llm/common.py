@@ -160,7 +160,8 @@ def shared_keys(keyed: DataFrame, value: str = "value", first_value: str = "firs
     """Of (key, node, value), all long: the rows of keys that more than one row has, with the key's first node ``a`` and its value.
 
     One pass over rows sorted by key; of a key that goes on from batch to batch only its
-    first node is remembered, so a very common key costs no memory.
+    first node is remembered, so a very common key costs no memory. Rows that repeat key
+    and node are one.
     """
     names = ["key", "node", value, "a", first_value]
     small_batches(keyed, 20_000)
@@ -169,10 +170,16 @@ def shared_keys(keyed: DataFrame, value: str = "value", first_value: str = "firs
         none = np.zeros(0, np.int64)
         held = (none, none, none)  # the last row, while it is the only one of its key
         begun = None  # (key, node, val) of the first row of a key that goes on
+        last = None  # (key, node) of the row before the batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, val = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
+            raw = [c.to_numpy() for c in batch.columns]
+            new = np.r_[last != (raw[0][0], raw[1][0]), (raw[0][1:] != raw[0][:-1]) | (raw[1][1:] != raw[1][:-1])]
+            last = (raw[0][-1], raw[1][-1])
+            if not new.any():
+                continue
+            key, node, val = (np.concatenate([h, c[new]]) for h, c in zip(held, raw, strict=True))
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             first, first_val, many = node[start], val[start], size > 1

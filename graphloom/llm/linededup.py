@@ -1,12 +1,17 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (words in lower case, digits as 0, punctuation gone). Equal
-normalised lines are one node from the start. Nodes whose 64-bit SimHashes differ in at
-most three bits agree in two of five blocks (pigeonhole), so each pair of blocks is a
-join key. Candidates are confirmed by edit similarity on the normalised text, first
-against the smallest member of each bucket; members that are then still in different
-components are compared with each other. Of every connected group of lines the first
-occurrence (smallest doc_id, then line number) is kept.
+normalised lines are one node from the start. Two lines are linked where the edit
+similarity of their normalised texts is at least 0.9. Pairs to compare come from two kinds
+of keys. Lines of at most 49 characters: cut the longer one of a pair into one piece more
+than there may be edits, and one piece stands unchanged in the other at nearly the same
+place (no pair is lost). Longer lines: bands of MinHashes of their 5-grams of characters
+(bands of 4 for lines up to about 110 characters, of 5 beyond), which finds pairs with a
+probability. Pairs that differ too much in length, or in more than MOST_BITS of a sketch
+of 48 bits, are left out. The others are confirmed on the texts, first against the
+smallest member of each bucket; members that are then still in different components are
+compared with each other. Of every connected group of lines the first occurrence
+(smallest doc_id, then line number) is kept.
 
 Nodes are 64-bit hashes of the normalised line (a second 64 bits keep unequal lines
 apart when they are counted).
@@ -16,7 +21,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +31,16 @@ from pyspark.sql import functions as F
 from .common import components, discard, saved, shared_keys, small_batches
 
 SIMILARITY = 0.9
-MOST_BITS = 3
-CUTS = (0, 13, 26, 39, 52, 64)  # five blocks
+GRAM = 5  # characters
+SHORT = 49  # characters up to which pairs are found by pieces
+FROM = 45  # characters from which lines have MinHashes: the least that is like one of SHORT + 1
+MIDDLE = 110  # characters up to which bands are smaller; a line of 99 is like one of MIDDLE
+MIDDLE_BANDS, LONG_BANDS = (16, 4), (12, 5)  # how many, and hashes in each
+HASHES = 64
+SKETCH = 48  # the lowest bit of as many MinHashes
+MOST_BITS = 19  # of the sketch; half of them differ, about, between unlike lines
+STEP = 500_000  # characters hashed at a time, about
+SEEN = 200_000  # nodes that a task remembers, so that a common line gives its keys once
 BATCH_ROWS = 500
 CACHE_TOKENS = 500_000
 FILTER_BITS = 22  # the prefilter for texts is a bitmap of 2^22 places, whatever the input
@@ -45,59 +57,113 @@ def normalised(line: str) -> str:
     return " ".join(w for w in map(plain, line.split()) if w)
 
 
-class _Hashes(dict):
-    """Token to a 64-bit hash of its normalised form; 0 if nothing is left of it."""
+class _Plain(dict):
+    """Token to its normalised form."""
 
-    def __missing__(self, token: str) -> int:
+    def __missing__(self, token: str) -> str:
         if len(self) >= CACHE_TOKENS:
             self.clear()
-        word = plain(token)
-        found = xxhash.xxh64_intdigest(word) | 1 if word else 0
+        found = plain(token)
         if len(token) <= 100:
             self[token] = found
         return found
 
 
-_HASHES = _Hashes()
+_PLAIN = _Plain()
+_FACTORS = np.random.default_rng(7).integers(1 << 30, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def normalised_all(lines: list[str]) -> list[str]:
+    return [" ".join(filter(None, map(_PLAIN.__getitem__, line.split()))) for line in lines]
+
+
+def node_keys(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each normalised line."""
+    keys = np.array([divmod(xxhash.xxh128_intdigest(x), 1 << 64) for x in names], dtype=np.uint64).reshape(-1, 2)
+    return keys[:, 0].astype(np.int64), keys[:, 1].astype(np.int64)
+
+
+def min_hashes(names: list[str]) -> np.ndarray:
+    """HASHES by lines: the least of each hash over all GRAM-grams of a line (all lines have one)."""
+    out = np.zeros((HASHES, len(names)), np.uint32)
+    sizes = np.array([len(x) for x in names], np.int64)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(names):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + STEP, side="right")))
+        chars = np.frombuffer("".join(names[at:stop]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = sizes[at:stop]
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(chars) - GRAM + 1, np.uint64)
+            for k in range(GRAM):
+                h = h * np.uint64(0x9E3779B97F4A7C15) + chars[k : len(chars) - GRAM + 1 + k]
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h = ((h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
+            left = np.repeat(np.cumsum(n), n)[: len(h)] - np.arange(len(h))  # characters to the end of the line
+            h = h[left >= GRAM]
+            starts = np.cumsum(n - GRAM + 1) - (n - GRAM + 1)
+            for k, factor in enumerate(_FACTORS):
+                out[k, at:stop] = np.minimum.reduceat(h * factor, starts)
+        at = stop
+    return out
 
 
-def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all lines end to end, and how many each line has."""
-    out: list[int] = []
-    counts = np.zeros(len(lines), np.int64)
-    for k, line in enumerate(lines):
-        before = len(out)
-        out += [h for h in map(_HASHES.__getitem__, line.split()) if h]
-        counts[k] = len(out) - before
-    return np.array(out, np.uint64), counts
+def sketches(mins: np.ndarray) -> np.ndarray:
+    """SKETCH bits for each line."""
+    return ((mins[:SKETCH].astype(np.int64) & 1) << np.arange(SKETCH)[:, None]).sum(0)
+
+
+def pieces(name: str) -> set[int]:
+    """Keys of a line of at most SHORT characters: two lines that reach SIMILARITY share one, whichever edits there are."""
+    n, out = len(name), set()
+    for longer in range(n, SHORT + 1):
+        edits = longer // 10
+        if longer - n > edits:
+            break
+        cut = [longer * i // (edits + 1) for i in range(edits + 2)]
+        for i in range(edits + 1 if edits else 0):
+            begin, size = cut[i], cut[i + 1] - cut[i]
+            # at most i edits before the piece, or else at most edits - i after it
+            low = max(0, begin - i, begin + n - longer - (edits - i))
+            high = min(n - size, begin + i, begin + n - longer + (edits - i))
+            out.update(xxhash.xxh64_intdigest(f"{longer} {i} {name[k : k + size]}".encode("utf-8", "surrogatepass")) for k in range(low, high + 1))
+    return out
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line with a word: its index, two 64-bit keys of the normalised line, and its SimHash."""
-    h, counts = hashed(lines)
-    some = np.where(counts > 0)[0]
-    ends = np.cumsum(counts)
-    raw = memoryview(h.tobytes())
-    keys = np.array([divmod(xxhash.xxh128_intdigest(raw[8 * (ends[k] - counts[k]) : 8 * ends[k]]), 1 << 64) for k in some], dtype=np.uint64).reshape(-1, 2)
-    sims = np.zeros(len(some), np.uint64)
-    at, step = 0, 200_000  # words expanded to bits at a time, about
-    while at < len(some):
-        stop = max(at + 1, int(np.searchsorted(ends[some], ends[some[at]] - counts[some[at]] + step, side="right")))
-        rows = some[at:stop]
-        begin = ends[rows[0]] - counts[rows[0]]
-        ones = _ones(h[begin : ends[rows[-1]]], ends[rows] - counts[rows] - begin)
-        sims[at:stop] = np.packbits(2 * ones > counts[rows][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-        at = stop
-    return some, keys[:, 0].astype(np.int64), keys[:, 1].astype(np.int64), sims.astype(np.int64)
+def block_keys(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and key of all keys, and the value of each line: its sketch with its length above."""
+    sizes = np.array([len(x) for x in names], np.int64)
+    value = np.minimum(sizes, (1 << 15) - 1) << SKETCH
+    rows, keys = [], []
+    for k in np.where(sizes <= SHORT)[0]:
+        found = pieces(names[k])
+        rows.append(np.full(len(found), k))
+        keys.append(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+    some = np.where(sizes >= FROM)[0]
+    if len(some):
+        mins = min_hashes([names[k] for k in some])
+        value[some] |= sketches(mins)
+        for at, (bands, width) in ((sizes[some] <= MIDDLE, MIDDLE_BANDS), (sizes[some] >= 0.9 * MIDDLE, LONG_BANDS)):
+            if at.any():
+                for band in range(bands):
+                    h = np.full(int(at.sum()), band * 8 + width, np.uint64)
+                    with np.errstate(over="ignore"):
+                        for k in range(band * width, (band + 1) * width):
+                            h = (h ^ mins[k, at]) * np.uint64(0x9E3779B97F4A7C15)
+                            h = h ^ (h >> np.uint64(29))
+                    rows.append(some[at])
+                    keys.append(h.view(np.int64))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *keys]), value
 
 
-def _ones(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """How many hashes of each run have each bit set; a mixed hash, as bit 0 of a word's hash is always set."""
-    with np.errstate(over="ignore"):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-        h = h ^ (h >> np.uint64(29))
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every line with a word: its index, two 64-bit keys of the normalised line, and its sketch (0 if it is short)."""
+    names = normalised_all(lines)
+    some = np.array([k for k, x in enumerate(names) if x], np.int64)
+    names = [names[k] for k in some]
+    node, second = node_keys(names)
+    return some, node, second, block_keys(names)[2] & ((1 << SKETCH) - 1)
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -135,7 +201,11 @@ def edit_distance(a: str, b: str) -> int:
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     most = max(len(a), len(b))
     allowed = int((1 - similarity) * most + 1e-9)
-    return abs(len(a) - len(b)) <= allowed and edit_distance(a, b) <= allowed
+    if abs(len(a) - len(b)) > allowed:
+        return False
+    if most > SHORT and len({a[k : k + 4] for k in range(len(a) - 3)} - {b[k : k + 4] for k in range(len(b) - 3)}) > 4 * allowed:
+        return False  # an edit takes away four 4-grams at most
+    return edit_distance(a, b) <= allowed
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -152,19 +222,41 @@ def _split(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, node, second, sim of every line with a word."""
+    """doc_id, text_key, line_no, node, second of every line with a word."""
     small_batches(docs, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 lines, rows, numbers = _split(batch.column(2).to_pylist())
-                some, node, second, sim = line_keys(lines)
+                names = normalised_all(lines)
+                some = np.array([k for k, x in enumerate(names) if x], np.int64)
+                node, second = node_keys([names[k] for k in some])
                 at = pa.array(rows[some])
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array(node), pa.array(second), pa.array(sim)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "second", "sim"])
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array(node), pa.array(second)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "second"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, second long")
+
+
+def keyed_nodes(docs: DataFrame) -> DataFrame:
+    """key, node, sim (the value of ``block_keys``) of all lines; some repeat where a line does."""
+    small_batches(docs, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            names = {x for x in normalised_all(_split(batch.column(2).to_pylist())[0]) if x} if batch.num_rows else set()
+            names = sorted(names)
+            node = node_keys(names)[0]
+            new = [k for k, x in enumerate(node.tolist()) if x not in seen]
+            if len(seen) + len(new) > SEEN:
+                seen.clear()
+            seen.update(node[new].tolist())
+            rows, keys, value = block_keys([names[k] for k in new])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[new][rows]), pa.array(value[rows])], ["key", "node", "sim"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, second long, sim long")
+    return _keyed(docs).mapInArrow(run, "key long, node long, sim long")
 
 
 def _place(doc_id: np.ndarray, line_no: np.ndarray) -> np.ndarray:
@@ -220,20 +312,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, places: DataFrame, similarity: fl
 
 
 def _near(x: str, y: str):
-    return F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= MOST_BITS
+    """Whether two lines can be alike, by length and, if neither is short, by sketch."""
+    size_x, size_y = F.shiftright(x, SKETCH), F.shiftright(y, SKETCH)
+    bits = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND(F.lit((1 << SKETCH) - 1)))
+    return (F.abs(size_x - size_y) <= 0.1 * F.greatest(size_x, size_y) + 1e-9) & ((F.least(size_x, size_y) <= SHORT) | (bits <= MOST_BITS))
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The occurrences of all lines; the distinct lines with first place and number; (node, root) of lines in a group with others."""
     lines = saved(occurrences(docs), "occurrences")
     place = F.struct("doc_id", "line_no", "text_key")
-    nodes = saved(lines.groupBy("node", "second").agg(F.min("sim").alias("sim"), F.min(place).alias("at"), F.count("*").alias("n")), "nodes")
+    nodes = saved(lines.groupBy("node", "second").agg(F.min(place).alias("at"), F.count("*").alias("n")), "nodes")
     places = nodes.select("node", "at.*")
-    keys = [
-        F.xxhash64(F.lit(k), *[F.shiftrightunsigned("sim", CUTS[i]).bitwiseAND(F.lit((1 << (CUTS[i + 1] - CUTS[i])) - 1)) for i in pair])
-        for k, pair in enumerate(combinations(range(len(CUTS) - 1), 2))
-    ]
-    members = saved(shared_keys(nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "sim"), "sim", "sa"), "buckets")
+    members = saved(shared_keys(keyed_nodes(docs), "sim", "sa"), "buckets")
     first = saved(members.filter("node <> a").filter(_near("sim", "sa")).select("a", F.col("node").alias("b")).distinct(), "pairs")
     links = confirm(first, docs, places, similarity)
     roots = components(links, "lines")

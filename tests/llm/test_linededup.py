@@ -91,3 +91,55 @@ def test_empty(spark):
 def test_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     run(spark, rows)
+
+
+def edited_pairs():
+    """(line, line with one word changed) at 0.9 or more, with lines of the table of 4 to 60 words."""
+    r = random.Random(6)
+    text = "\n".join(t or "" for t in __import__("pyarrow.parquet").parquet.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist())
+    lines = sorted({n for x in text.split("\n") if 4 <= len((n := L.normalised(x)).split()) <= 60 and len(n) >= 10})
+    words = sorted({w for x in lines for w in x.split()})
+    r.shuffle(lines)
+    out = []
+    for x in lines:
+        w = x.split()
+        w[r.randrange(len(w))] = r.choice(words)
+        y = " ".join(w)
+        if y != x and L.alike(x, y):
+            out.append((x, y))
+    return out
+
+
+def test_recall_of_pairs_by_edit_similarity_alone():
+    kinds = {}
+    for x, y in edited_pairs():
+        rows, keys, value = L.block_keys([x, y])
+        met = bool(set(keys[rows == 0].tolist()) & set(keys[rows == 1].tolist()))
+        mask = (1 << L.SKETCH) - 1
+        close = min(len(x), len(y)) <= L.SHORT or (int(value[0] ^ value[1]) & mask).bit_count() <= L.MOST_BITS
+        n = len(x.split())
+        kinds.setdefault(0 if n < 10 else 1 if n < 20 else 2, []).append(met and close)
+    print({k: (len(v), sum(v)) for k, v in kinds.items()})
+    assert set(kinds) == {0, 1, 2}
+    assert all(sum(v) >= 0.97 * len(v) for v in kinds.values())
+
+
+def test_short_lines_lose_no_pair():
+    r = random.Random(9)
+    for _ in range(3000):
+        a = "".join(r.choice("abcd ") for _ in range(r.randrange(9, L.SHORT + 1)))
+        b = list(a)
+        for _ in range(r.randrange(1, 5)):
+            k = r.randrange(len(b))
+            b[k : k + r.randrange(2)] = r.choice(["", "e", "f"])
+        b = "".join(b)
+        if len(b) <= L.SHORT and a != b and L.alike(a, b):
+            assert L.pieces(a) & L.pieces(b)
+
+
+def test_lines_with_one_word_changed_go(spark):
+    pairs = edited_pairs()[:400]
+    rows = [(2 * k + i, p[i]) for k, p in enumerate(pairs) for i in (0, 1)]
+    got = L.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    gone = {r.doc_id for r in got if r.n_dropped}
+    assert sum(2 * k + 1 in gone for k in range(len(pairs))) >= 0.97 * len(pairs)

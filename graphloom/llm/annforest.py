@@ -3,7 +3,8 @@
 Trees are fitted on a bounded sample; every vector is then put into one leaf of each
 tree. A query walks all trees through one shared priority queue (the node with the least
 distance beyond its split planes comes next, whichever tree it is in) until the leaves
-taken hold enough vectors. Candidates are scored exactly, in double precision, leaf by
+taken hold enough vectors. Equal vectors are one entry throughout; those found are
+expanded to their smallest ids at the end. Candidates are scored exactly, in double precision, leaf by
 leaf in blocks, and the best of all leaves are kept.
 """
 
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import saved, small_batches
 
 TREES = 12
 SAMPLE = 20_000  # vectors that the trees are fitted on, at most
 LEAF = 128  # sampled vectors in a leaf, at most
-SHARE = 0.06  # part of all (vector, tree) entries that a query looks at ...
+SHARE = 0.06  # part of all (distinct vector, tree) entries that a query looks at ...
 LEAST = 4_000  # ... and the least number of them
 BLOCK = 2048
 TOP = 5
@@ -143,9 +144,19 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     """
     small_batches(vectors, 10_000)
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector).dropDuplicates(["id", "v"])
+    ids = usable(vectors, id_col, vector).select("id", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), F.col("v")).alias("k2"), "v")
+    rows = ids.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.first("v").alias("v"))
+    rows = saved(rows.select(F.monotonically_increasing_id().alias("id"), "first", "k1", "k2", "v"), "vectors")
+    once = saved(ids.select("id", "k1", "k2").distinct(), "ids")
+    # ids with several vectors: so many more vectors are kept that enough ids are among them
+    keep = (top + 1) * ((once.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]) or 1)
+    salted, whole = (Window.partitionBy("k1", "k2", *salt).orderBy("id") for salt in ([F.pmod(F.xxhash64("id"), F.lit(64))], []))
+    members = once.withColumn("n_", F.row_number().over(salted)).filter(F.col("n_") <= keep).withColumn("n_", F.row_number().over(whole)).filter(F.col("n_") <= keep)
+    members = saved(members.join(rows.select("k1", "k2", F.col("id").alias("vid")), ["k1", "k2"]).select("vid", F.col("id").alias("vec_id")), "members")
+    asking = saved(once.filter(F.col("id") % every == 0).join(rows.select("k1", "k2", F.col("id").alias("qid")), ["k1", "k2"]).select("qid", F.col("id").alias("query_id")), "asking")
+    rows = rows.select("id", "first", "v")
     kind = rows.schema["v"].dataType.simpleString()
-    forest = Forest(sample(rows))
+    forest = Forest(sample(rows.select(F.col("first").alias("id"), "v")))
     if not forest.trees:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(forest)  # bounded by SAMPLE
@@ -179,34 +190,36 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
             at = pa.array(q, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(f, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], ["tree", "leaf", "query_id", "qv"])
 
-    queries = rows.filter(F.col("id") % every == 0)
+    queries = rows.join(asking.select(F.col("qid").alias("id")).distinct(), "id", "left_semi").select("id", "v")
     walks = queries.repartition(F.xxhash64("id")).mapInArrow(walk, f"tree int, leaf int, query_id long, qv {kind}")
     parts = sizes_of(spark, count)
     split = (F.col("tree") == F.col("t_")) & (F.col("leaf") == F.col("f_"))
-    base = rows.mapInArrow(place, f"tree int, leaf int, id long, v {kind}").join(F.broadcast(parts), split).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    base = rows.mapInArrow(place, f"tree int, leaf int, id long, first long, v {kind}").join(F.broadcast(parts), split).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     asked = walks.join(F.broadcast(parts), split).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
-            ids, base_v = right["id"].to_numpy(), unit(matrix(right["v"]))
-            repeats = len(np.unique(ids)) < len(ids)
+            ids, firsts, base_v = right["id"].to_numpy(), right["first"].to_numpy(), unit(matrix(right["v"]))
             for lo in range(0, left.num_rows, BLOCK):
                 some = left.slice(lo, BLOCK)
                 score = unit(matrix(some["qv"])) @ base_v.T
                 for q, row in zip(some["query_id"].to_numpy(), score, strict=True):
                     row = np.where(ids == q, -np.inf, row)
-                    least = np.partition(row, -top)[-top] if len(row) > top and not repeats else -np.inf
+                    least = np.partition(row, -keep)[-keep] if len(row) > keep else -np.inf
                     near = np.where((row >= least) & (row > -np.inf))[0]
-                    near = near[np.lexsort((ids[near], -row[near]))]
-                    near = near[np.sort(np.unique(ids[near], return_index=True)[1])][:top]
+                    near = near[np.lexsort((firsts[near], -row[near]))][:keep]
                     out.append((np.full(len(near), q), ids[near], row[near]))
         columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.float64))]
-        return pa.table(columns, names=["query_id", "vec_id", "score"])
+        return pa.table(columns, names=["qid", "vid", "score"])
 
     keys = ["tree", "leaf", "part"]
-    near = asked.select(*keys, "query_id", "qv").groupBy(*keys).cogroup(base.select(*keys, "id", "v").groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    return best(near, top).select("query_id", "rank", "vec_id", "score")
+    near = asked.select(*keys, "query_id", "qv").groupBy(*keys).cogroup(base.select(*keys, "id", "first", "v").groupBy(*keys)).applyInArrow(rank, "qid long, vid long, score double")
+    near = near.groupBy("qid", "vid").agg(F.max("score").alias("score")).union(asking.select("qid", F.col("qid").alias("vid"), F.lit(1.0)).distinct())
+    # per distinct query vector: its nearest ids; then per query, less itself
+    found = near.join(members, "vid").groupBy("qid", "vec_id").agg(F.max("score").alias("score"))
+    found = found.withColumn("n_", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n_") <= keep).drop("n_")
+    return best(found.join(asking, "qid").filter("vec_id <> query_id").select("query_id", "vec_id", "score"), top).select("query_id", "rank", "vec_id", "score")
 
 
 def sizes_of(spark, count: list[np.ndarray]) -> DataFrame:

@@ -93,3 +93,24 @@ def test_recall_on_the_table(spark):
     pairs = {(q, i) for q, near in want.items() for i, _ in near}
     assert len(found & pairs) >= 0.9 * len(pairs)
     assert len(got) == 5 * len(want)
+
+
+def recall(spark, rows):
+    got = annforest.search(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = brute_nearest(rows)
+    assert len(got) == 5 * len(want)
+    return got, want
+
+
+def test_recall_where_a_third_is_one_vector(spark, monkeypatch):
+    """The walk looks at SHARE of the entries; the copies take no part of it."""
+    monkeypatch.setattr(annforest, "LEAST", 1)
+    x = np.random.default_rng(8).standard_normal((9000, 64)).astype(np.float32)
+    x[::3] = x[0]
+    got, want = recall(spark, [(i, [float(c) for c in v], 1, "x") for i, v in enumerate(x)])
+    other = {q for q in want if q % 3}
+    pairs = {(q, i) for q in other for i, _ in want[q] if i % 3}
+    found = {(r.query_id, r.vec_id) for r in got}
+    print(len(found & pairs) / len(pairs))
+    assert len(found & pairs) >= 0.9 * len(pairs)
+    assert all(abs(r.score - 1) < 1e-12 and r.vec_id <= 15 for r in got if r.query_id % 3 == 0)

@@ -114,3 +114,14 @@ def test_recall_where_a_third_is_one_vector(spark, monkeypatch):
     print(len(found & pairs) / len(pairs))
     assert len(found & pairs) >= 0.9 * len(pairs)
     assert all(abs(r.score - 1) < 1e-12 and r.vec_id <= 15 for r in got if r.query_id % 3 == 0)
+
+
+def test_recall_of_the_share_alone(spark, monkeypatch):
+    """With LEAST out of force, as on larger tables."""
+    monkeypatch.setattr(annforest, "LEAST", 1)
+    x = np.random.default_rng(9).standard_normal((6000, 64)).astype(np.float32)
+    got, want = recall(spark, [(i, [float(c) for c in v], 1, "x") for i, v in enumerate(x)])
+    pairs = {(q, i) for q, near in want.items() for i, _ in near}
+    share = len({(r.query_id, r.vec_id) for r in got} & pairs) / len(pairs)
+    print(share)
+    assert share >= 0.9

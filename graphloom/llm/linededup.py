@@ -2,15 +2,23 @@
 
 Lines are normalised (words in lower case, digits as 0, punctuation gone). Equal
 normalised lines are one node from the start. Two lines are linked where the edit
-similarity of their normalised texts is at least 0.9. Pairs to compare come from two kinds
-of keys. Lines of at most 49 characters: cut the longer one of a pair into one piece more
-than there may be edits, and one piece stands unchanged in the other at nearly the same
-place (no pair is lost). Longer lines: bands of MinHashes of their 5-grams of characters
-(bands of 4 for lines up to about 110 characters, of 5 beyond), which finds pairs with a
-probability. Pairs that differ too much in length, or in more than MOST_BITS of a sketch
-of 48 bits, are left out. The others are confirmed on the texts, first against the
-smallest member of each bucket; members that are then still in different components are
-compared with each other. Of every connected group of lines the first occurrence
+similarity of their normalised texts is at least 0.9.
+
+Candidates come from SimHash blocks. A line has a SimHash of ``BITS`` bits for each of B
+blocks, to which its words are dealt by their hashes; the blocks' sums make up the SimHash
+of the whole line. A changed word touches two blocks at most (the old and the new one's),
+so by the pigeonhole principle two lines that differ in fewer than B / 2 words agree in a
+block, and with more changes they do with a probability: B grows with the line
+(``blocks_for``). A key is one block, or, of lines with fewer than 16 words, two of five
+blocks. Lines of up to 8 words have keys that leave out one word or two in a row. Lines of at most
+``SHORT`` characters are cut into pieces instead, one more than there may be edits, and
+lose no pair. Members of a bucket whose lengths differ too much, or whole SimHashes in more
+than ``MOST_BITS`` bits, are no candidates.
+
+Candidates are confirmed on the texts. Every line is tried with the smallest member of
+its buckets that it shares most keys with; lines of a bucket that are then in different
+components are compared with each other in blocks of bounded size, where the texts are
+read, and only links leave a block. Of every connected group of lines the first occurrence
 (smallest doc_id, then line number) is kept.
 
 Nodes are 64-bit hashes of the normalised line (a second 64 bits keep unequal lines
@@ -19,7 +27,6 @@ apart when they are counted).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,89 +35,117 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, saved, shared_keys, small_batches
+from .common import components, discard, group_runs, saved, shared_keys, small_batches, tiles
 
 SIMILARITY = 0.9
-GRAM = 5  # characters
-SHORT = 49  # characters up to which pairs are found by pieces
-FROM = 45  # characters from which lines have MinHashes: the least that is like one of SHORT + 1
-MIDDLE = 110  # characters up to which bands are smaller; a line of 99 is like one of MIDDLE
-MIDDLE_BANDS, LONG_BANDS = (16, 4), (12, 5)  # how many, and hashes in each
-HASHES = 64
-SKETCH = 48  # the lowest bit of as many MinHashes
-MOST_BITS = 19  # of the sketch; half of them differ, about, between unlike lines
-STEP = 500_000  # characters hashed at a time, about
+SHORT = 29  # characters up to which pairs are found by pieces
+FROM = 27  # characters from which lines have SimHash keys: the least that is like one of SHORT + 1
+FEW = 8  # words up to which a line has keys that leave out a word or two
+BITS = 32  # of a SimHash
+MOST_BITS = 11  # that may differ in the SimHash of whole lines of LINE_WORDS words or more; half differ between unlike lines
+LINE_WORDS = 16
+BLOCK = 1024  # rows of a bucket compared at a time
+SEGMENT = 1 << 20  # bytes hashed at a time, about
 SEEN = 200_000  # nodes that a task remembers, so that a common line gives its keys once
 BATCH_ROWS = 500
-CACHE_TOKENS = 500_000
-FILTER_BITS = 22  # the prefilter for texts is a bitmap of 2^22 places, whatever the input
 
-_WORD = re.compile(r"\w+")
-_DIGIT = re.compile(r"\d")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Of every byte of lower-case UTF-8: digits as 0, what is neither a word character nor a line feed as a blank.
+_CLEAN = bytes(48 if 48 <= c < 58 else c if c >= 128 or c in (10, 95) or 97 <= c < 123 or 65 <= c < 91 else 32 for c in range(256))
+_SPREAD = np.array([int.from_bytes(bytes(x >> k & 1 for k in range(8)), "little") for x in range(256)], np.uint64)
+_EMPTY = np.zeros(0, np.int64)
 
 
-def plain(token: str) -> str:
-    return " ".join(_WORD.findall(_DIGIT.sub("0", token.lower())))
+def cleaned(text: str) -> bytes:
+    """Words of ``text`` in lower case, digits as 0, each other character but the line feed a blank."""
+    text = text.lower()
+    if not text.isascii():
+        for c in set(text):
+            if c > "\x7f" and not c.isalpha():
+                text = text.replace(c, "0" if c.isdecimal() else c if c.isalnum() else " ")
+    return text.encode("utf-8", "surrogatepass").translate(_CLEAN)
 
 
 def normalised(line: str) -> str:
-    return " ".join(w for w in map(plain, line.split()) if w)
+    return b" ".join(cleaned(line).split()).decode("utf-8", "surrogatepass")
 
 
-class _Plain(dict):
-    """Token to its normalised form."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ (h >> np.uint64(32))) * _MIX[0]
+        h = (h ^ (h >> np.uint64(29))) * _MIX[1]
+        return h ^ (h >> np.uint64(32))
 
-    def __missing__(self, token: str) -> str:
-        if len(self) >= CACHE_TOKENS:
-            self.clear()
-        found = plain(token)
-        if len(token) <= 100:
-            self[token] = found
-        return found
 
+def _powers(base: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.r_[np.uint64(1), np.full(SEGMENT, base, np.uint64)], dtype=np.uint64)
 
-_PLAIN = _Plain()
-_FACTORS = np.random.default_rng(7).integers(1 << 30, 1 << 31, HASHES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
+_UP = _powers(0x9E3779B97F4A7C15)
+_DOWN = _powers(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
-def normalised_all(lines: list[str]) -> list[str]:
-    return [" ".join(filter(None, map(_PLAIN.__getitem__, line.split()))) for line in lines]
 
+class Lines:
+    """The words of cleaned lines, as arrays.
 
-def node_keys(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit keys of each normalised line."""
-    keys = np.array([divmod(xxhash.xxh128_intdigest(x), 1 << 64) for x in names], dtype=np.uint64).reshape(-1, 2)
-    return keys[:, 0].astype(np.int64), keys[:, 1].astype(np.int64)
+    ``word`` has the hash of every word, ``at`` where each line's words begin (and the
+    end), ``size`` the characters of each normalised line, ``node`` and ``second`` its keys.
+    A line's words are bytes of ``raw`` from ``begin`` to ``end``.
+    """
 
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        chars = np.frombuffer(raw + b"\n", np.uint8)
+        gap = (chars == 32) | (chars == 10)
+        self.begin = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+        self.end = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
+        feeds = np.flatnonzero(chars == 10)
+        self.at = np.r_[0, np.searchsorted(self.begin, feeds)]
+        self.n = np.diff(self.at)
+        self.word = self._hashes(chars)
+        long = np.cumsum((chars & 0xC0) != 0x80, dtype=np.int64)
+        long = long[self.end - 1] - long[self.begin] + 1 if len(self.begin) else _EMPTY
+        self.size = self.sums(long) + np.maximum(self.n - 1, 0)
+        with np.errstate(over="ignore"):
+            placed = self.word + (np.arange(len(self.word)) - np.repeat(self.at[:-1], self.n)).astype(np.uint64) * _ODD
+            self.node = mixed(self.sums(mixed(placed))).view(np.int64)
+            self.second = mixed(self.sums(mixed(placed ^ _MIX[1])) + _ODD).view(np.int64)
 
-def min_hashes(names: list[str]) -> np.ndarray:
-    """HASHES by lines: the least of each hash over all GRAM-grams of a line (all lines have one)."""
-    out = np.zeros((HASHES, len(names)), np.uint32)
-    sizes = np.array([len(x) for x in names], np.int64)
-    ends = np.cumsum(sizes)
-    at = 0
-    while at < len(names):
-        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + STEP, side="right")))
-        chars = np.frombuffer("".join(names[at:stop]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        n = sizes[at:stop]
+    def _hashes(self, chars: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.begin), np.uint64)
+        at = 0
         with np.errstate(over="ignore"):
-            h = np.zeros(len(chars) - GRAM + 1, np.uint64)
-            for k in range(GRAM):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + chars[k : len(chars) - GRAM + 1 + k]
-            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            h = ((h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
-            left = np.repeat(np.cumsum(n), n)[: len(h)] - np.arange(len(h))  # characters to the end of the line
-            h = h[left >= GRAM]
-            starts = np.cumsum(n - GRAM + 1) - (n - GRAM + 1)
-            for k, factor in enumerate(_FACTORS):
-                out[k, at:stop] = np.minimum.reduceat(h * factor, starts)
-        at = stop
-    return out
+            while at < len(out):
+                base = self.begin[at]
+                stop = int(np.searchsorted(self.end, base + SEGMENT, side="right"))
+                if stop == at:  # one word longer than a segment
+                    out[at] = xxhash.xxh64_intdigest(self.raw[base : self.end[at]])
+                    at += 1
+                    continue
+                part = chars[base : self.end[stop - 1]]
+                total = np.r_[np.uint64(0), np.cumsum(part * _UP[: len(part)], dtype=np.uint64)]
+                lo, hi = self.begin[at:stop] - base, self.end[at:stop] - base
+                out[at:stop] = (total[hi] - total[lo]) * _DOWN[lo]
+                at = stop
+        return mixed(out)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Of one value for each word, the sum for each line."""
+        with np.errstate(over="ignore"):
+            total = np.r_[np.zeros(1, values.dtype), np.cumsum(values, dtype=values.dtype)]
+            return total[self.at[1:]] - total[self.at[:-1]]
 
+    def text(self, k: int) -> str:
+        lo, hi = self.at[k], self.at[k + 1]
+        return b" ".join(self.raw[self.begin[lo] : self.end[hi - 1]].split()).decode("utf-8", "surrogatepass") if hi > lo else ""
 
-def sketches(mins: np.ndarray) -> np.ndarray:
-    """SKETCH bits for each line."""
-    return ((mins[:SKETCH].astype(np.int64) & 1) << np.arange(SKETCH)[:, None]).sum(0)
+    def words_of(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of some lines, and of each the place of its line among those."""
+        n = self.n[lines]
+        own = np.repeat(np.arange(len(lines)), n)
+        return np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.at[lines], n), own
 
 
 def pieces(name: str) -> set[int]:
@@ -130,40 +165,98 @@ def pieces(name: str) -> set[int]:
     return out
 
 
-def block_keys(names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and key of all keys, and the value of each line: its sketch with its length above."""
-    sizes = np.array([len(x) for x in names], np.int64)
-    value = np.minimum(sizes, (1 << 15) - 1) << SKETCH
+def blocks_for(level: int) -> int:
+    """Blocks of lines with 8 * 2^level words or more: with twice the words, 1.57 times the blocks."""
+    return 5 if level == 0 else round(6 * 1.57 ** (level - 1))
+
+
+def simhash(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The SimHash of BITS bits, from how many of ``n`` features have each bit."""
+    return np.packbits(2 * counts > n[:, None], axis=1, bitorder="little").view(np.uint32).ravel()
+
+
+def block_sums(word: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words in groups: the groups in order, how many words each has, and how many of them have each bit."""
+    packed = np.sort(group.astype(np.uint64) << np.uint64(40) | word >> np.uint64(24))
+    group = (packed >> np.uint64(40)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    n = np.diff(np.r_[first, len(group)])
+    within = np.arange(len(group)) - np.repeat(first, n)
+    runs = np.flatnonzero(within % 255 == 0)  # counters of 8 bits hold as many
+    parts = [np.add.reduceat(_SPREAD[(packed >> np.uint64(8 * k)) & np.uint64(255)], runs).view(np.uint8).reshape(-1, 8) for k in range(BITS // 8)]
+    counts = np.concatenate(parts, axis=1).astype(np.int32)
+    if len(runs) > len(first):
+        counts = np.add.reduceat(counts, np.searchsorted(runs, first))
+    return group[first], n, counts
+
+
+def block_keys(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the lines in ``which`` (all with a word): the row and the key of all keys, and the value of each line.
+
+    The value is its length in characters, above whether it has LINE_WORDS words, above
+    its SimHash.
+    """
+    n, size = lines.n[which], lines.size[which]
+    value = np.minimum(size, (1 << 24) - 1) << 33 | (n >= LINE_WORDS).astype(np.int64) << 32
     rows, keys = [], []
-    for k in np.where(sizes <= SHORT)[0]:
-        found = pieces(names[k])
+    for k in np.flatnonzero(size <= SHORT):
+        found = pieces(lines.text(which[k]))
         rows.append(np.full(len(found), k))
-        keys.append(np.fromiter(found, np.uint64, len(found)).view(np.int64))
-    some = np.where(sizes >= FROM)[0]
-    if len(some):
-        mins = min_hashes([names[k] for k in some])
-        value[some] |= sketches(mins)
-        for at, (bands, width) in ((sizes[some] <= MIDDLE, MIDDLE_BANDS), (sizes[some] >= 0.9 * MIDDLE, LONG_BANDS)):
-            if at.any():
-                for band in range(bands):
-                    h = np.full(int(at.sum()), band * 8 + width, np.uint64)
-                    with np.errstate(over="ignore"):
-                        for k in range(band * width, (band + 1) * width):
-                            h = (h ^ mins[k, at]) * np.uint64(0x9E3779B97F4A7C15)
-                            h = h ^ (h >> np.uint64(29))
-                    rows.append(some[at])
-                    keys.append(h.view(np.int64))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *keys]), value
-
-
-def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every line with a word: its index, two 64-bit keys of the normalised line, and its sketch (0 if it is short)."""
-    names = normalised_all(lines)
-    some = np.array([k for k, x in enumerate(names) if x], np.int64)
-    names = [names[k] for k in some]
-    node, second = node_keys(names)
-    return some, node, second, block_keys(names)[2] & ((1 << SKETCH) - 1)
+        keys.append(np.fromiter(found, np.uint64, len(found)))
+    with np.errstate(over="ignore"):
+        some = np.flatnonzero((size >= FROM) & (n <= FEW) & (n > 1))
+        if len(some):
+            words, own = lines.words_of(which[some])
+            h = mixed(lines.word[words])
+            total = np.zeros(len(some), np.uint64)
+            np.add.at(total, own, h)
+            pair = np.flatnonzero((own[1:] == own[:-1]) & (n[some][own[1:]] > 2))  # a blank more or less changes two words into one
+            rows += [some[own], some, some[own[pair]]]
+            keys += [mixed(total[own] - h), mixed(total), mixed(total[own[pair]] - h[pair] - h[pair + 1])]
+        level, most = 0, n.max(initial=0)
+        while 7 * 2**level <= most:
+            low, high, blocks = 8 << level, 16 << level, blocks_for(level)
+            some = np.flatnonzero((size >= FROM) & (n >= low * 7 // 8) & (n < high))
+            if len(some):
+                words, own = lines.words_of(which[some])
+                word = lines.word[words]
+                group, held, counts = block_sums(word, own * blocks + ((word & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64))
+                line, block = np.divmod(group, blocks)
+                mine = mixed(simhash(counts, held).astype(np.uint64) | held.astype(np.uint64) << np.uint64(32)) + (block.astype(np.uint64) + np.uint64(1)) * _ODD + np.uint64(blocks)
+                if level == 0:  # two blocks each
+                    table, full = np.zeros((len(some), blocks), np.uint64), np.zeros((len(some), blocks), np.int64)
+                    table[line, block], full[line, block] = mixed(mine), held
+                    for i in range(blocks):
+                        for j in range(i):
+                            good = full[:, i] + full[:, j] > 1
+                            rows.append(some[good])
+                            keys.append(mixed(table[good, i] + table[good, j] + np.uint64(i * blocks + j)))
+                else:
+                    good = held > 1
+                    rows.append(some[line[good]])
+                    keys.append(mixed(mine[good]))
+                first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
+                whole = simhash(np.add.reduceat(counts, first), n[some])
+                value[some] = value[some] >> 32 << 32 | whole.astype(np.int64)
+            level += 1
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([_EMPTY, *rows]), np.concatenate([none, *keys]).view(np.int64), value
+
+
+def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the values of lines, which can be alike: by length and, if neither has few words, by SimHash."""
+    a, b = x >> 33, y >> 33
+    few = ((x & y) >> 32 & 1) == 0
+    bits = np.bitwise_count((x ^ y) & ((1 << BITS) - 1))
+    return (10 * np.abs(a - b) <= np.maximum(a, b)) & (few | (bits <= MOST_BITS))
+
+
+def _near(x: str, y: str):
+    """``near`` as a column."""
+    a, b = F.shiftright(x, 33), F.shiftright(y, 33)
+    few = F.col(x).bitwiseAND(F.col(y)).bitwiseAND(F.lit(1 << 32)) == 0
+    bits = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND(F.lit((1 << BITS) - 1)))
+    return (10 * F.abs(a - b) <= F.greatest(a, b)) & (few | (bits <= MOST_BITS))
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -199,41 +292,43 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    """Whether the edit similarity is reached: 1 - distance / the longer length."""
     most = max(len(a), len(b))
     allowed = int((1 - similarity) * most + 1e-9)
     if abs(len(a) - len(b)) > allowed:
         return False
-    if most > SHORT and len({a[k : k + 4] for k in range(len(a) - 3)} - {b[k : k + 4] for k in range(len(b) - 3)}) > 4 * allowed:
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= allowed:
+        return True  # no more than writing the differing words anew
+    if most > 49 and len({a[k : k + 4] for k in range(len(a) - 3)} - {b[k : k + 4] for k in range(len(b) - 3)}) > 4 * allowed:
         return False  # an edit takes away four 4-grams at most
     return edit_distance(a, b) <= allowed
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells apart rows that repeat an id; rows without id take no part."""
+    small_batches(docs, BATCH_ROWS)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null")
 
 
-def _split(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All lines, and of each its row and its number within the row's text."""
-    found = [(t or "").split("\n") for t in texts]
-    sizes = np.array([len(x) for x in found])
-    rows = np.repeat(np.arange(len(found)), sizes)
-    return [x for some in found for x in some], rows, (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+def _lines_of(batch: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
+    """All lines of a batch, and of each its row and its number within the row's text."""
+    texts = [t or "" for t in batch.column(2).to_pylist()]
+    sizes = np.array([t.count("\n") + 1 for t in texts], np.int64)
+    rows = np.repeat(np.arange(len(texts)), sizes)
+    return Lines(cleaned("\n".join(texts))), rows, (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, line_no, node, second of every line with a word."""
-    small_batches(docs, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                lines, rows, numbers = _split(batch.column(2).to_pylist())
-                names = normalised_all(lines)
-                some = np.array([k for k, x in enumerate(names) if x], np.int64)
-                node, second = node_keys([names[k] for k in some])
+                lines, rows, numbers = _lines_of(batch)
+                some = np.flatnonzero(lines.n)
                 at = pa.array(rows[some])
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array(node), pa.array(second)]
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array(lines.node[some]), pa.array(lines.second[some])]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "second"])
 
     return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, second long")
@@ -241,64 +336,42 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def keyed_nodes(docs: DataFrame) -> DataFrame:
     """key, node, sim (the value of ``block_keys``) of all lines; some repeat where a line does."""
-    small_batches(docs, BATCH_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            names = {x for x in normalised_all(_split(batch.column(2).to_pylist())[0]) if x} if batch.num_rows else set()
-            names = sorted(names)
-            node = node_keys(names)[0]
-            new = [k for k, x in enumerate(node.tolist()) if x not in seen]
-            if len(seen) + len(new) > SEEN:
-                seen.clear()
-            seen.update(node[new].tolist())
-            rows, keys, value = block_keys([names[k] for k in new])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(node[new][rows]), pa.array(value[rows])], ["key", "node", "sim"])
+            if batch.num_rows:
+                lines = _lines_of(batch)[0]
+                some = np.flatnonzero(lines.n)
+                some = some[np.unique(lines.node[some], return_index=True)[1]]
+                some = some[[x not in seen for x in lines.node[some].tolist()]] if len(some) else some
+                if len(seen) + len(some) > SEEN:
+                    seen.clear()
+                seen.update(lines.node[some].tolist())
+                rows, keys, value = block_keys(lines, some)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lines.node[some][rows]), pa.array(value[rows])], ["key", "node", "sim"])
 
     return _keyed(docs).mapInArrow(run, "key long, node long, sim long")
 
 
-def _place(doc_id: np.ndarray, line_no: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (doc_id.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line_no.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, line) of the places wanted (node, doc_id, text_key, line_no).
-
-    A bitmap of fixed size over the places thins out the lines before they are shuffled.
-    """
-    small_batches(docs, BATCH_ROWS)
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = np.unique(_place(batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            yield pa.RecordBatch.from_arrays([pa.array(place)], ["p"])
-
-    marked = wanted.select("doc_id", "line_no").mapInArrow(mark, "p long").distinct().select(F.col("p").cast("int").alias("p")).toArrow()["p"].to_numpy()
-    bitmap = np.zeros(1 << FILTER_BITS, bool)
-    bitmap[marked] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bitmap))
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, line): the normalised lines of the places (node, doc_id, text_key, line_no); may repeat where a row does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(shared.value)
         for batch in batches:
             if batch.num_rows:
-                lines, rows, numbers = _split(batch.column(2).to_pylist())
-                some = np.where(asked[_place(batch.column(0).to_numpy()[rows], numbers)])[0]
+                lines, rows, numbers = _lines_of(batch)
+                some = np.flatnonzero(lines.n)
                 at = pa.array(rows[some])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array([normalised(lines[k]) for k in some], pa.string())], ["doc_id", "text_key", "line_no", "line"])
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array(lines.node[some]), pa.array([lines.text(k) for k in some], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "line"])
 
-    found = _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, line string")
-    return found.join(wanted, ["doc_id", "text_key", "line_no"]).dropDuplicates(["node"]).select("node", "line")
+    found = _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, line string")
+    return found.join(places.hint("shuffle_hash"), ["node", "doc_id", "line_no", "text_key"]).select("node", "line")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, places: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose normalised lines reach the edit similarity; ``places`` says where a node's line is."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = saved(_texts(docs, saved(places.join(nodes, "node", "left_semi"), "places")), "lines")
+def confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose normalised lines reach the edit similarity."""
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b").join(texts.select(F.col("node").alias("a"), F.col("line").alias("la")), "a").select("a", "b", "la", "lb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,16 +379,75 @@ def confirm(pairs: DataFrame, docs: DataFrame, places: DataFrame, similarity: fl
             keep = [alike(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    out = saved(both.mapInArrow(run, "a long, b long"), "links")
-    discard(texts)
+    return saved(both.mapInArrow(run, "a long, b long"), "links")
+
+
+TILE = ("key", "ta", "tb")
+_TILED = "key long, ta int, tb int, mine int, node long, root long, sim long"
+
+
+def _open_pairs(columns: dict[str, np.ndarray], lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one tile: row i and the rows of other components that can be like it."""
+    mine, root, sim = columns["mine"], columns["root"], columns["sim"]
+    ta, tb = columns["ta"][lo], columns["tb"][lo]
+    first, second = np.flatnonzero(mine[lo:hi] == ta) + lo, np.flatnonzero(mine[lo:hi] == tb) + lo
+    for i in first:
+        others = second[second > i] if ta == tb else second
+        others = others[(root[others] != root[i]) & near(sim[others], sim[i])]
+        if len(others):
+            yield i, others
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of tiles that have a candidate in another component."""
+    at = members.select("key", "node", "sim").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    at = saved(at, "labelled")
+    mixed_keys = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    rows = tiles(at.join(mixed_keys, "key", "left_semi"), "key", "node", BLOCK).select(*TILE, "mine", "node", "root", "sim")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in group_runs(batches, TILE):
+            columns = {c: table[c].to_numpy() for c in table.column_names}
+            hit = np.zeros(table.num_rows, bool)
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                for i, others in _open_pairs(columns, lo, hi):
+                    hit[i] = True
+                    hit[others] = True
+            if hit.any():
+                yield from table.filter(pa.array(hit)).to_batches()
+
+    out = saved(rows.repartition(*TILE).sortWithinPartitions(*TILE, "node").mapInArrow(run, _TILED), "open")
+    discard(at)
     return out
 
 
-def _near(x: str, y: str):
-    """Whether two lines can be alike, by length and, if neither is short, by sketch."""
-    size_x, size_y = F.shiftright(x, SKETCH), F.shiftright(y, SKETCH)
-    bits = F.bit_count(F.col(x).bitwiseXOR(F.col(y)).bitwiseAND(F.lit((1 << SKETCH) - 1)))
-    return (F.abs(size_x - size_y) <= 0.1 * F.greatest(size_x, size_y) + 1e-9) & ((F.least(size_x, size_y) <= SHORT) | (bits <= MOST_BITS))
+def _between(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components, from comparing the lines of open rows within tiles; those that join nothing new in a tile are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in group_runs(batches, TILE):
+            columns = {c: table[c].to_numpy() for c in table.column_names if c != "line"}
+            node, root, line, a, b = columns["node"], columns["root"], table["line"].to_pylist(), [], []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                joined: dict[int, int] = {}
+
+                def top(r: int, joined=joined) -> int:
+                    while r in joined:
+                        r = joined[r]
+                    return r
+
+                for i, others in _open_pairs(columns, lo, hi):
+                    for j in others:
+                        p, q = top(int(root[i])), top(int(root[j]))
+                        if p != q and alike(line[i], line[j], similarity):
+                            joined[p] = q
+                            a.append(int(node[i]))
+                            b.append(int(node[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    with_lines = rows.join(texts, "node").select(*TILE, "mine", "node", "root", "sim", "line")
+    small_batches(rows, BATCH_ROWS)
+    return saved(with_lines.repartition(*TILE).sortWithinPartitions(*TILE, "node").mapInArrow(run, "a long, b long"), "links")
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -323,32 +455,32 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     lines = saved(occurrences(docs), "occurrences")
     place = F.struct("doc_id", "line_no", "text_key")
     nodes = saved(lines.groupBy("node", "second").agg(F.min(place).alias("at"), F.count("*").alias("n")), "nodes")
-    places = nodes.select("node", "at.*")
     members = saved(shared_keys(keyed_nodes(docs), "sim", "sa"), "buckets")
-    first = saved(members.filter("node <> a").filter(_near("sim", "sa")).select("a", F.col("node").alias("b")).distinct(), "pairs")
-    links = confirm(first, docs, places, similarity)
+    shared = members.filter("node <> a").filter(_near("sim", "sa")).groupBy("a", "node").agg(F.count("*").alias("n"))
+    first = saved(shared.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
+    wanted = nodes.select("node", "at.*").join(members.select("node").distinct(), "node", "left_semi")
+    texts = saved(_texts(docs, wanted), "texts")
+    links = confirm(first, texts, similarity)
+    discard(first)
     roots = components(links, "lines")
-    labelled = members.select("key", "node", "sim").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    left = saved(labelled.join(mixed, "key", "left_semi"), "mixed")
-    right = left.select("key", F.col("node").alias("b"), F.col("sim").alias("sb"), F.col("root").alias("rb"))
-    rest = left.join(right, "key").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("rb")) & _near("sim", "sb")).select(F.col("node").alias("a"), "b").distinct()
-    rest = saved(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    discard(left)
+    rows = _open(members, roots)
     discard(members)
-    if not rest.isEmpty():
-        roots = components(links.union(confirm(rest, docs, places, similarity)), "lines")
+    if not rows.isEmpty():
+        roots = components(links.union(_between(rows, texts, similarity)), "lines")
+    discard(rows)
+    discard(texts)
     return lines, nodes, roots
 
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """All columns of ``docs``, with the text less the repeated lines, ``n_lines`` and ``n_dropped``.
 
-    Needs ``doc_id`` and ``text``; a column named n_chars is brought up to date, other
-    columns stay as they are. Lines without a word (blank ones too) are never dropped. A
-    null text stays null; rows without doc_id are left alone and affect no others. Rows
-    that repeat doc_id and text are one document. A document whose lines all go keeps an
-    empty text. An empty table gives no rows.
+    Needs ``doc_id`` and ``text``; a column named n_chars is brought up to date, columns
+    named n_lines and n_dropped are replaced, others stay as they are whatever their
+    names. Lines without a word (blank ones too) are never dropped. A null text stays
+    null; rows without doc_id are left alone and affect no others. Rows that repeat doc_id
+    and text are one document. A document whose lines all go keeps an empty text. An empty
+    table gives no rows.
     """
     lines, nodes, roots = line_groups(docs, similarity)
     # a line that others are like is kept at the group's first place, one that only repeats at its own
@@ -356,12 +488,13 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     firsts = grouped.groupBy("root").agg(F.min("at").alias("first"))
     active = grouped.join(firsts, "root").select("node", "second", "first").union(nodes.filter("n > 1").join(roots.select("node"), "node", "left_anti").select("node", "second", F.col("at").alias("first")))
     gone = lines.join(active, ["node", "second"]).filter(F.struct("doc_id", "line_no", "text_key") != F.col("first")).select("doc_id", "text_key", "line_no").distinct()
-    drops = gone.groupBy(F.col("doc_id").alias("drop_id_"), F.col("text_key").alias("drop_key_")).agg(F.collect_list("line_no").alias("drop_lines_"))
-    joined = docs.join(drops, (F.col("doc_id") == F.col("drop_id_")) & (F.xxhash64("text") == F.col("drop_key_")), "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("drop_lines_"), i))
-    text = F.when(F.col("drop_lines_").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("n_lines_", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("n_dropped_", F.coalesce(F.size("drop_lines_"), F.lit(0)).cast("long"))
-    out = out.withColumn("text_", text)
-    columns = [F.col("text_").alias("text") if c == "text" else F.length("text_").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return out.select(*columns, F.greatest("n_lines_", F.lit(0)).alias("n_lines"), F.greatest("n_dropped_", F.lit(0)).alias("n_dropped"))
+    drops = gone.groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("drops"))
+    # every column of the input in one struct, so that no name can clash
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    joined = whole.join(drops.hint("shuffle_hash"), ["doc_id", "text_key"], "left")
+    parts = F.split("row.text", "\n", -1)
+    kept = F.filter(parts, lambda x, i: ~F.array_contains(F.col("drops"), i))
+    text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    out = joined.select("row", text.alias("left"), F.greatest(F.coalesce(F.size(parts), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"), F.greatest(F.coalesce(F.size("drops"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"))
+    columns = [F.col("left").alias("text") if c == "text" else F.length("left").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*columns, "n_lines", "n_dropped")

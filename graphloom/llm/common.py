@@ -156,14 +156,15 @@ def group_runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iter
         yield table, cut(table)
 
 
-def shared_keys(keyed: DataFrame, value: str = "value", first_value: str = "first_value") -> DataFrame:
-    """Of (key, node, value), all long: the rows of keys that more than one row has, with the key's first node ``a`` and its value.
+def shared_keys(keyed: DataFrame, value: str | None = None, first_value: str | None = None) -> DataFrame:
+    """Of (key, node), or (key, node, value), all long: the rows of keys that more than one row has, with the key's first node ``a`` and its value.
 
     One pass over rows sorted by key; of a key that goes on from batch to batch only its
     first node is remembered, so a very common key costs no memory. Rows that repeat key
     and node are one.
     """
-    names = ["key", "node", value, "a", first_value]
+    names = ["key", "node", value, "a", first_value] if value else ["key", "node", "a"]
+    wide = [F.col("key"), F.col("node"), *([F.col(value)] if value else [])]
     small_batches(keyed, 20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +176,8 @@ def shared_keys(keyed: DataFrame, value: str = "value", first_value: str = "firs
             if not batch.num_rows:
                 continue
             raw = [c.to_numpy() for c in batch.columns]
+            if not value:
+                raw.append(np.zeros(len(raw[0]), np.int8))
             new = np.r_[last != (raw[0][0], raw[1][0]), (raw[0][1:] != raw[0][:-1]) | (raw[1][1:] != raw[1][:-1])]
             last = (raw[0][-1], raw[1][-1])
             if not new.any():
@@ -191,9 +194,10 @@ def shared_keys(keyed: DataFrame, value: str = "value", first_value: str = "firs
                 begun, held = None, (key[-1:], node[-1:], val[-1:])
             rows = np.repeat(many, size)
             columns = [key[rows], node[rows], val[rows], np.repeat(first, size)[rows], np.repeat(first_val, size)[rows]]
+            columns = columns if value else [columns[k] for k in (0, 1, 3)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return keyed.select(*wide).repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 # --- blocked comparison inside groups ---------------------------------------------------------

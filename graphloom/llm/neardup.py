@@ -7,13 +7,13 @@
    Each document is confirmed against the one smallest-id bucket partner it shares most
    bands with, on full shingle sets made anew from the texts of the documents concerned.
    Alternating large-star and small-star gives the components of these links.
-3. Buckets whose members are then in more than one component are compared in full, in
-   blocks of bounded size: signatures first, and the documents of every pair in different
-   components whose estimated similarity is at least ``FLOOR`` get their full sets and
-   are compared block by block once more. A pair is looked at in the first band it
-   shares only. Links are all that leaves a block, never pairs, so neither a group of
-   copies nor a crowd of half-similar documents multiplies rows, and no link between
-   components is lost.
+3. Buckets whose members are then in more than one component are compared by signature,
+   in blocks of bounded size. A pair in different components is a candidate where the
+   estimated similarity is at least ``FLOOR`` and the sizes allow 0.75. Of each block only
+   as many candidates leave as connect the documents concerned; they form groups, in
+   which the full sets, read once for each document, are compared block by block. Links
+   are all that leaves a block, never pairs, so neither a group of copies nor a crowd of
+   half-similar documents multiplies rows, and no link between components is lost.
 
 With 32 bands of 4 minima a pair at the limit of 0.75 shares no band with probability
 5e-6; its estimate falls below FLOOR = 0.6 with probability 4e-5.
@@ -100,19 +100,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (small + large - both)
 
 
-def packed(found: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash of a sorted set: what full sets are compared by.
-
-    Two unequal shingles of a pair of sets agree in them with probability |A| * |B| / 2^48.
-    """
-    return found.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
 def unpacked(raw: pa.Scalar) -> np.ndarray:
-    parts = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(parts), 8), np.uint8)
-    out[:, :6] = parts
-    return out.view(np.uint64).ravel()
+    return np.frombuffer(raw.as_buffer(), np.uint64)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -141,7 +130,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             made = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["id", "set_key", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "set_key", "words"])
 
     made = wanted.mapInArrow(run, "id long, set_key binary, words binary")
     return made.join(keys, ["id", "set_key"], "left_semi").dropDuplicates(["id", "set_key"])
@@ -172,77 +161,88 @@ def _in_tiles(rows: DataFrame, run, schema: str) -> DataFrame:
     return rows.repartition(*TILE).sortWithinPartitions(*TILE, "id").mapInArrow(run, schema)
 
 
-def _close_pairs(table: pa.Table, lo: int, hi: int, columns: dict[str, np.ndarray], sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of one tile: row i, rows j in other components that may be similar, and the estimates; each pair in its first band only."""
-    mine, roots = columns["mine"][lo:hi], columns["root"][lo:hi]
-    ta, tb, band = columns["ta"][lo], columns["tb"][lo], columns["band"][lo]
-    first, second = np.where(mine == ta)[0] + lo, np.where(mine == tb)[0] + lo
+def _close_pairs(lo: int, hi: int, columns: dict[str, np.ndarray], sigs: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one tile: row i and the rows in other components that may be similar, likeliest first."""
+    mine, root, n = columns["mine"], columns["root"], columns["n"]
+    ta, tb = columns["ta"][lo], columns["tb"][lo]
+    first, second = np.where(mine[lo:hi] == ta)[0] + lo, np.where(mine[lo:hi] == tb)[0] + lo
     for i in first:
-        others = second[roots[second - lo] != columns["root"][i]]
-        if ta == tb:
-            others = others[others > i]
+        others = second[second > i] if ta == tb else second
+        others = others[(root[others] != root[i]) & (100 * np.minimum(n[others], n[i]) >= PERCENT * np.maximum(n[others], n[i]))]
         if len(others):
-            same = sigs[others] == sigs[i]
-            est = same.mean(1)
-            bands = same.reshape(len(others), BANDS, -1).all(2)
-            keep = (est >= FLOOR) & bands[:, band] & (bands.argmax(1) == band)
+            est = (sigs[others] == sigs[i]).mean(1)
+            keep = est >= FLOOR
             if keep.any():
-                yield i, others[keep], est[keep]
+                yield i, others[keep][np.argsort(-est[keep], kind="stable")]
 
 
-def _unpacked(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    columns = {c: table[c].to_numpy() for c in ("id", "root", "mine", "ta", "tb", "band")}
+def _columns(table: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    columns = {c: table[c].to_numpy() for c in ("id", "root", "n", "mine", "ta", "tb")}
     return columns, np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint32).reshape(-1, MINIMA)
 
 
-def _flagged(members: DataFrame, reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of tiles that have a partner in another component to be compared with: tile, band, mine, id, root, sig."""
-    at = members.select("key", "band", "id").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rows = tiles(at.join(mixed, "key", "left_semi"), "key", "id", BLOCK).join(reps.select("id", "sig"), "id").select(*TILE, "band", "mine", "id", "root", "sig")
+class _Joined(dict):
+    """Union of numbers."""
+
+    def top(self, r: int) -> int:
+        while r in self:
+            r = self[r]
+        return r
+
+    def join(self, p: int, q: int) -> bool:
+        """Whether they were apart."""
+        p, q = self.top(p), self.top(q)
+        if p != q:
+            self[p] = q
+        return p != q
+
+
+def _candidates(members: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect the documents of ``rows(id, root, n, sig)`` with candidates in other components."""
+    at = members.select("key", "id").join(rows.select("id", "root"), "id")
+    several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    tiled = tiles(at.select("key", "id").join(several, "key", "left_semi"), "key", "id", BLOCK).join(rows, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in group_runs(batches, TILE):
-            columns, sigs = _unpacked(table)
-            hit = np.zeros(table.num_rows, bool)
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                for i, others, _ in _close_pairs(table, lo, hi, columns, sigs):
-                    hit[i] = True
-                    hit[others] = True
-            if hit.any():
-                yield from table.filter(pa.array(hit)).to_batches()
+        for table, starts in group_runs(batches, TILE):
+            columns, sigs = _columns(table)
+            ids, a, b = columns["id"], [], []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                joined = _Joined()
+                for i, others in _close_pairs(lo, hi, columns, sigs):
+                    for j in others:
+                        if joined.join(int(i), int(j)):
+                            a.append(int(ids[i]))
+                            b.append(int(ids[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return saved(_in_tiles(rows, run, "key long, ta int, tb int, band int, mine int, id long, root long, sig binary"), "flagged")
+    return saved(_in_tiles(tiled.select(*TILE, "mine", "id", "root", "n", "sig"), run, "a long, b long"), "candidates")
 
 
-def _between(flagged: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, found by comparing full sets within tiles; those that join nothing new in a tile are left out."""
-    sets = saved(_sets_of(docs, flagged.select("id").distinct(), reps.select("id", "set_key")).select("id", "words"), "sets")
+def _between(groups: DataFrame, rows: DataFrame, docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, found by comparing full sets within groups (node, root); those that join nothing new in a tile are left out."""
+    at = groups.select(F.col("node").alias("id"), F.col("root").alias("key"))
+    sets = saved(_sets_of(docs, at.select("id"), reps.select("id", "set_key")).select("id", "words"), "sets")
+    tiled = tiles(at, "key", "id", BLOCK).join(rows, "id").join(sets, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in group_runs(batches, TILE):
-            columns, sigs = _unpacked(table)
-            words, ids, a, b = table["words"], columns["id"], [], []
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                joined: dict[int, int] = {}
-
-                def top(r: int, joined=joined) -> int:
-                    while r in joined:
-                        r = joined[r]
-                    return r
-
-                for i, others, est in _close_pairs(table, lo, hi, columns, sigs):
+        for table, starts in group_runs(batches, TILE):
+            columns, sigs = _columns(table)
+            words, ids, root, a, b = table["words"], columns["id"], columns["root"], [], []
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+                joined = _Joined()
+                for i, others in _close_pairs(lo, hi, columns, sigs):
                     own = unpacked(words[int(i)])
-                    for j in others[np.argsort(-est, kind="stable")]:
-                        p, q = top(int(columns["root"][i])), top(int(columns["root"][j]))
-                        if p != q and similar(own, unpacked(words[int(j)]), percent):
-                            joined[p] = q
+                    for j in others:
+                        p, q = int(root[i]), int(root[j])
+                        if joined.top(p) != joined.top(q) and similar(own, unpacked(words[int(j)]), percent):
+                            joined.join(p, q)
                             a.append(int(ids[i]))
                             b.append(int(ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     small_batches(docs, BATCH_ROWS)
-    out = saved(_in_tiles(flagged.join(sets, "id").select(*TILE, "band", "mine", "id", "root", "sig", "words"), run, "a long, b long"), "links")
+    out = saved(_in_tiles(tiled.select(*TILE, "mine", "id", "root", "n", "sig", "words"), run, "a long, b long"), "links")
     discard(sets)
     return out
 
@@ -257,22 +257,27 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     rows = saved(sketch(docs), "sketch")
     known = rows.filter("n_shingles > 0 and doc_id is not null")
-    reps = saved(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "reps")
+    reps = saved(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "reps")
     band = 4 * MINIMA // BANDS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(F.expr("sig").substr(k * band + 1, F.lit(band)), k))
     # an id that repeats with other texts stands for several sets: those are linked as one node
-    keyed = reps.select(F.posexplode(keys).alias("band", "key"), "id").select("key", F.col("id").alias("node"), F.col("band").cast("long").alias("band"))
-    members = saved(shared_keys(keyed, "band", "b0").select("key", F.col("band").cast("int").alias("band"), F.col("node").alias("id"), "a"), "buckets")
+    keyed = reps.select(F.explode(keys).alias("key"), F.col("id").alias("node"))
+    members = saved(shared_keys(keyed).select("key", F.col("node").alias("id"), "a"), "buckets")
     shared = members.filter("a < id").groupBy("a", "id").agg(F.count("*").alias("n"))
     first = saved(shared.groupBy(F.col("id").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
 
     copies = known.join(reps.select("set_key", F.col("id").alias("rep")), "set_key").filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = confirm(first, docs, reps, percent)
+    discard(first)
     comps = components(links)
-    flagged = _flagged(members, reps, comps)
+    shared = members.select("id").distinct()
+    open_rows = saved(reps.join(shared, "id", "left_semi").join(comps.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n", "sig"), "rows")
+    candidates = _candidates(members, open_rows)
     discard(members)
-    if not flagged.isEmpty():
-        links = links.union(_between(flagged, docs, reps, percent))
+    if not candidates.isEmpty():
+        links = links.union(_between(components(candidates), open_rows, docs, reps, percent))
+    discard(open_rows)
+    discard(candidates)
     whole = components(links.union(copies))
     out = rows.select("doc_id", "n_shingles").join(whole.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.coalesce(F.coalesce("root", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -1,10 +1,17 @@
 import random
+import re
 
 from graphloom.llm import neardup as N
 
 
+def words_of(text):
+    """The shingles of the definition, as tuples of words, with no part of the operator."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: bytes([m[0][0] + 32]), (text or "").encode()))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(rows, percent=75):
-    sets = [(i, set(N.shingles(t).tolist())) for i, t in rows]
+    sets = [(i, words_of(t)) for i, t in rows]
     root = {i: i for i, _ in rows}
 
     def top(k):
@@ -57,3 +64,14 @@ def test_chains_of_links_and_odd_rows(spark):
 def test_table_and_empty(spark):
     run(spark, [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()])
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_larger_than_a_block(spark, monkeypatch):
+    """Half-similar documents of one bucket, some of them linked, in blocks of few rows."""
+    monkeypatch.setattr(N, "BLOCK", 16)
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = [r.choice(words) for _ in range(100)], []
+    for i in range(150):
+        rows.append((i, " ".join(base[: r.randrange(70, 96)] + [r.choice(words) for _ in range(r.randrange(4, 22))])))
+    run(spark, rows)

@@ -41,6 +41,8 @@ SIMILARITY = 0.9
 SHORT = 29  # characters up to which pairs are found by pieces
 FROM = 27  # characters from which lines have SimHash keys: the least that is like one of SHORT + 1
 FEW = 8  # words up to which a line has keys that leave out a word or two
+LONG = 4  # characters of the words that have a part in SimHashes, where a line has 8 such words
+LETTERS = 10  # characters that a block's words must have for a key
 BITS = 32  # of a SimHash
 MOST_BITS = 11  # that may differ in the SimHash of whole lines of LINE_WORDS words or more; half differ between unlike lines
 LINE_WORDS = 16
@@ -108,6 +110,8 @@ class Lines:
         long = np.cumsum((chars & 0xC0) != 0x80, dtype=np.int64)
         long = long[self.end - 1] - long[self.begin] + 1 if len(self.begin) else _EMPTY
         self.size = self.sums(long) + np.maximum(self.n - 1, 0)
+        self.long = long
+        self.n_long = self.sums((long >= LONG).astype(np.int64))
         with np.errstate(over="ignore"):
             placed = self.word + (np.arange(len(self.word)) - np.repeat(self.at[:-1], self.n)).astype(np.uint64) * _ODD
             self.node = mixed(self.sums(mixed(placed))).view(np.int64)
@@ -197,7 +201,7 @@ def block_keys(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     its SimHash.
     """
     n, size = lines.n[which], lines.size[which]
-    value = np.minimum(size, (1 << 24) - 1) << 33 | (n >= LINE_WORDS).astype(np.int64) << 32
+    value = np.minimum(size, (1 << 24) - 1) << 33 | (lines.n_long[which] >= LINE_WORDS).astype(np.int64) << 32
     rows, keys = [], []
     for k in np.flatnonzero(size <= SHORT):
         found = pieces(lines.text(which[k]))
@@ -213,32 +217,41 @@ def block_keys(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             pair = np.flatnonzero((own[1:] == own[:-1]) & (n[some][own[1:]] > 2))  # a blank more or less changes two words into one
             rows += [some[own], some, some[own[pair]]]
             keys += [mixed(total[own] - h), mixed(total), mixed(total[own[pair]] - h[pair] - h[pair + 1])]
-        level, most = 0, n.max(initial=0)
-        while 7 * 2**level <= most:
-            low, high, blocks = 8 << level, 16 << level, blocks_for(level)
-            some = np.flatnonzero((size >= FROM) & (n >= low * 7 // 8) & (n < high))
-            if len(some):
+        many = lines.n_long[which]
+        for least, n_kind, kind in ((LONG, many, many >= 7), (0, n, (many < 8) & (n > 7))):
+            level, most = 0, n_kind[kind].max(initial=0)
+            while 7 * 2**level <= most:
+                low, high, blocks = 8 << level, 16 << level, blocks_for(level)
+                some = np.flatnonzero(kind & (size >= FROM) & (n_kind >= low * 7 // 8) & (n_kind < high))
+                level += 1
+                if not len(some):
+                    continue
                 words, own = lines.words_of(which[some])
+                if least:
+                    told = lines.long[words] >= least
+                    words, own = words[told], own[told]
                 word = lines.word[words]
-                group, held, counts = block_sums(word, own * blocks + ((word & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64))
+                group = own * blocks + ((word & np.uint64(0xFFFFFF)) % np.uint64(blocks)).astype(np.int64)
+                held = np.bincount(group, lines.long[words], minlength=len(some) * blocks).astype(np.int64)
+                group, count, counts = block_sums(word, group)
+                held = held[group]
                 line, block = np.divmod(group, blocks)
-                mine = mixed(simhash(counts, held).astype(np.uint64) | held.astype(np.uint64) << np.uint64(32)) + (block.astype(np.uint64) + np.uint64(1)) * _ODD + np.uint64(blocks)
-                if level == 0:  # two blocks each
+                mine = mixed(simhash(counts, count).astype(np.uint64) | count.astype(np.uint64) << np.uint64(32)) + (block.astype(np.uint64) + np.uint64(1)) * _ODD + np.uint64(blocks * 2 + (least > 0))
+                if level == 1:  # two blocks each
                     table, full = np.zeros((len(some), blocks), np.uint64), np.zeros((len(some), blocks), np.int64)
                     table[line, block], full[line, block] = mixed(mine), held
                     for i in range(blocks):
                         for j in range(i):
-                            good = full[:, i] + full[:, j] > 1
+                            good = full[:, i] + full[:, j] >= LETTERS
                             rows.append(some[good])
                             keys.append(mixed(table[good, i] + table[good, j] + np.uint64(i * blocks + j)))
                 else:
-                    good = held > 1
+                    good = held >= LETTERS
                     rows.append(some[line[good]])
                     keys.append(mixed(mine[good]))
                 first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]])
-                whole = simhash(np.add.reduceat(counts, first), n[some])
+                whole = simhash(np.add.reduceat(counts, first), np.add.reduceat(count, first))
                 value[some] = value[some] >> 32 << 32 | whole.astype(np.int64)
-            level += 1
     none = np.zeros(0, np.uint64)
     return np.concatenate([_EMPTY, *rows]), np.concatenate([none, *keys]).view(np.int64), value
 

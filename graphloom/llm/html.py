@@ -1,8 +1,13 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a light tree of block elements. Subtrees that are never article
-text (scripts, styles, forms, navigation, and elements whose class, id or role says
-menu, advert, comments and the like) are left out. Every text block passes points for
+text (scripts, styles, forms, navigation, hidden elements) are left out, and so are those
+whose class, id or role names them as menu, advert, comments and the like. A class or id
+does so as a whole: it is such a word (``sidebar``), or it is put together of such words
+and of words for a place or a box alone (``site-footer``, ``comment-list``), so that
+``no-sidebar`` or ``social-policy`` is an ordinary name. An element so named stays
+nevertheless if no article or main element is outside of such elements and it holds one,
+or, with a name put together, more than half of the text. Every text block passes points for
 its length and commas to its ancestors, less with each level; a container's points are
 discounted by the share of its text that lies in links. The container with most points
 is kept, with those siblings that have a fair share of points and with the headings
@@ -23,7 +28,7 @@ from .common import small_batches
 
 BATCH_ROWS = 500
 SIBLING_SHARE = 0.2
-LINKS_AT_MOST = 0.6  # lists and boxes inside the article with a larger share of link text go
+LINKS_AT_MOST = 0.6  # lists and boxes within the container, but not in an article element, with a larger share of link text go
 LINK_BOX = 3  # if they have so many links
 
 #: Element names of HTML, and words that mark page furniture.
@@ -39,32 +44,46 @@ SCOPES = frozenset("ul ol dl table article section main aside nav div body html"
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist respond replies cookie cookies consent disqus footer foot header masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promotion promoted related recommended share sharing shares sidebar sidenav social sponsor sponsored subscribe subscription toolbar widget widgets gdpr login signup skip topbar".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 
+TITLES = frozenset("header masthead banner".split())  # not furniture within an article
+PLACES = frozenset("site page main left right top bottom upper lower primary secondary global post posts article articles story stories reader readers user users section sections area areas box boxes block blocks bar bars list lists item items container containers wrapper wrap inner outer holder panel panes pane region group row rows col cols column columns slot unit space link links form button buttons content body text title icons icon message feed sticky fixed floating mobile desktop inline block x the".split())
+
 _TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|[!?][^>]*(?:>|\Z)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z))", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_WORDS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+NAMED, COMPOSED, GONE = 2, 1, 3  # how an element is marked; 0 if it is not
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def _furniture(attrs: str, tag: str) -> bool:
+def _named(name: str, inside: bool) -> int:
+    """How a class or id marks an element; ``inside`` an article its header is not furniture."""
+    words = [w.lower() for w in _PARTS.findall(name)]
+    known = [w for w in words if w in FURNITURE and not (inside and w in TITLES)]
+    if not known or any(w not in FURNITURE and w not in PLACES and not w.isdigit() for w in words) or inside and len(known) < sum(w in FURNITURE for w in words):
+        return 0
+    return NAMED if len(words) == len(known) else COMPOSED
+
+
+def _furniture(attrs: str, tag: str, inside: bool) -> int:
     """Whether an element's attributes mark it as page furniture or as hidden."""
+    found = 0
     for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
+        name, value = name.lower(), a or b or c
         if name in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and FURNITURE.intersection(_WORDS.findall(value)):
-                return True
+            if tag not in ("html", "body", "article", "main"):
+                found = max([found, *(_named(x, inside) for x in value.split())])
         elif name == "role":
-            if value in ROLES:
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            if value.lower() in ROLES:
+                found = max(found, NAMED)
+        elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value.lower()):
+            return GONE
+    return found
 
 
 class _Tree:
     """Elements as parallel lists (a parent comes before its children) and text blocks in page order."""
 
     def __init__(self):
-        self.tag, self.parent, self.dropped = ["#root"], [-1], [False]
+        self.tag, self.parent, self.dropped, self.mark, self.inside = ["#root"], [-1], [False], [0], [False]
         self.blocks: list[tuple[int, str, int, int]] = []  # element, text, characters in links, links
         self.open = [0]
         self.parts: list[str] = []
@@ -88,10 +107,12 @@ class _Tree:
     def push(self, tag: str, attrs: str) -> None:
         self.flush()
         top = self.open[-1]
-        gone = self.dropped[top] or tag in DROPPED or tag == "header" and not self.in_article or bool(attrs) and _furniture(attrs, tag)
+        mark = _furniture(attrs, tag, self.in_article > 0) if attrs else 0
         self.tag.append(tag)
         self.parent.append(top)
-        self.dropped.append(gone)
+        self.dropped.append(self.dropped[top] or tag in DROPPED or tag == "header" and not self.in_article or mark == GONE)
+        self.mark.append(mark)
+        self.inside.append(self.inside[top] or tag == "article")
         self.open.append(len(self.tag) - 1)
         self.in_article += tag in ("article", "main")
         self.link_from = -1
@@ -167,9 +188,31 @@ def _parse(html: str) -> _Tree:
     return tree
 
 
+def _without_furniture(tree: _Tree) -> None:
+    """Take away the text of elements whose name marks them as furniture, unless they hold the article."""
+    n = len(tree.tag)
+    if not any(tree.mark):
+        return
+    chars, holds, within = [0] * n, [t in ("article", "main") and not d for t, d in zip(tree.tag, tree.dropped, strict=True)], [False] * n
+    for node, text, _, _ in tree.blocks:
+        chars[node] += len(text)
+    for k in range(1, n):
+        within[k] = within[tree.parent[k]] or tree.mark[k] > 0
+    outside = any(h and not w for h, w in zip(holds, within, strict=True))
+    for k in range(n - 1, 0, -1):
+        up = tree.parent[k]
+        chars[up] += chars[k]
+        holds[up] = holds[up] or holds[k]
+    for k in range(1, n):
+        stays = not outside and (holds[k] or tree.mark[k] == COMPOSED and 2 * chars[k] > chars[0])
+        tree.dropped[k] = tree.dropped[k] or tree.dropped[tree.parent[k]] or tree.mark[k] > 0 and not stays
+    tree.blocks = [b for b in tree.blocks if not tree.dropped[b[0]]]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: blocks in page order, joined by line feeds; empty if there is none."""
     tree = _parse(html or "")
+    _without_furniture(tree)
     n = len(tree.tag)
     points, chars, linked, links = [0.0] * n, [0] * n, [0] * n, [0] * n
     for node, text, in_link, count in tree.blocks:
@@ -208,7 +251,7 @@ def main_text(html: str | None) -> str:
             kept[k] = True
     for k in range(1, n):
         if not kept[k] and kept[tree.parent[k]]:
-            box = tree.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and links[k] >= LINK_BOX and linked[k] > LINKS_AT_MOST * chars[k]
+            box = not tree.inside[k] and tree.tag[k] in ("ul", "ol", "div", "section", "table", "dl") and links[k] >= LINK_BOX and linked[k] > LINKS_AT_MOST * chars[k]
             kept[k] = not box
     return "\n".join(text for node, text, _, _ in tree.blocks if kept[node])
 

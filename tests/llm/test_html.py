@@ -35,6 +35,36 @@ def test_misnesting_and_truncation():
     assert main_text("<p>x<script>never closed") == "x"
 
 
+LONG = "This is a long sentence of the article, with commas, clauses, and enough words to count as text. " * 3
+
+
+def test_names_that_only_contain_a_furniture_word():
+    want = LONG.strip()
+    for wrapper in ('class="no-sidebar"', 'class="social-policy"', 'class="story-with-comments"', 'id="page" class="site has-sidebar"', 'class="left-sidebar"', 'class="adventure headers-and-footers"', 'id="commentary"', 'class="entry-header-wide"'):
+        assert main_text(f"<body><div {wrapper}><p>{LONG}</p></div></body>") == want
+        assert main_text(f"<body><div {wrapper}><article><p>{LONG}</p></article></div><div class=sidebar><p>{LONG}</p></div></body>") == want
+    assert main_text(f'<article><div class="entry-header"><h1>Title</h1></div><p>{LONG}</p></article>') == "Title\n" + want
+    assert main_text(f'<article><div class="header"><h1>Title</h1></div><p>{LONG}</p></article>') == "Title\n" + want
+
+
+def test_links_inside_an_article_stay():
+    page = f"<article><p>{LONG}</p><ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul></article>"
+    assert main_text(page) == LONG.strip() + "\nFirst source\nSecond source\nThird source"
+
+
+def test_names_of_furniture():
+    names = "comments comment-list reader-comments commentsSection cookie-notice site-footer footer__inner main-nav navBar top-menu sidebar sidebar-left right-sidebar ad ad-slot ad-300x250 advert-box newsletter-signup social-share share-buttons related-posts related-articles breadcrumbs site-header skip-link widget-area subscribe-form promo-box login-form article-comments".split()
+    for name in names:
+        for kind in ("class", "id"):
+            assert main_text(f"<body><div {kind}='{name}'><p>{LONG}</p></div><article><p>Short text.</p></article></body>") == "Short text."
+            assert main_text(f"<body><div><p>{LONG}{LONG}</p></div><div {kind}={name}><p>Not this, not, this, either.</p></div></body>") == f"{LONG}{LONG}".strip()
+
+
+def test_comments_that_are_articles():
+    page = f"<body><div class=post><article><p>{LONG}</p></article><ol class='comment-list'><li><article class='comment-body'><p>{LONG} {LONG}</p></article></ol></div></body>"
+    assert main_text(page) == LONG.strip()
+
+
 def test_odd_inputs():
     assert main_text(None) == main_text("") == main_text("<html>") == main_text("<p> \n </p>") == ""
     assert len(main_text("<div>" * 20000 + "x")) == 1

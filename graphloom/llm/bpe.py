@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +43,29 @@ def ranks_from_tokenizer_json(path: str) -> dict[bytes, int]:
     return {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, which the library finds in a text before all else.
+
+    Only tokens that match as they stand are known here; others raise an error.
+    """
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if odd := [t["content"] for t in added if t["lstrip"] or t["rstrip"] or t["single_word"]]:
+        raise ValueError(f"added tokens that take in blanks or whole words only are not supported: {odd}")
+    return {t["content"]: t["id"] for t in added}
+
+
 class ChunkEncoder(dict):
-    """Text to ids, as little-endian unsigned 32-bit bytes. The dict maps chunks to their ids."""
+    """Text to ids, as little-endian unsigned 32-bit bytes. The dict maps chunks to their ids.
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    ``added`` tokens become their own ids wherever they stand in a text, and the text
+    between them is encoded by itself; without them every text is plain.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, added: dict[str, int] | None = None):
         super().__init__()
+        self.added = {text: np.array([i], "<u4").tobytes() for text, i in (added or {}).items()}
+        self.cuts = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.feed = self._raw("\n")
 
@@ -72,6 +91,17 @@ class ChunkEncoder(dict):
         return self._raw(first) + b"".join(map(self.__getitem__, rest))
 
     def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.cuts is None or not self.cuts.search(text):
+            return self._plain(text)
+        out, at = [], 0
+        for found in self.cuts.finditer(text):
+            out += [self._plain(text[at : found.start()]), self.added[found[0]]]
+            at = found.end()
+        return b"".join([*out, self._plain(text[at:])])
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         out = []
@@ -117,8 +147,11 @@ _ENCODERS: dict = {}
 def encoder(path: str, pattern: str) -> ChunkEncoder:
     """One encoder for each vocabulary file and worker process."""
     if (path, pattern) not in _ENCODERS:
-        ranks = ranks_from_tokenizer_json(path) if path.endswith(".json") else ranks_from_tiktoken(path)
-        _ENCODERS[path, pattern] = ChunkEncoder(ranks, pattern)
+        if path.endswith(".json"):
+            made = ChunkEncoder(ranks_from_tokenizer_json(path), pattern, added_tokens(path))
+        else:
+            made = ChunkEncoder(ranks_from_tiktoken(path), pattern)
+        _ENCODERS[path, pattern] = made
     return _ENCODERS[path, pattern]
 
 

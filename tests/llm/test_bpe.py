@@ -47,8 +47,7 @@ def test_json_vocabulary_equals_the_tokenizers_library():
 
     path = P.path("byte_bpe_50k.json")
     enc, tok = bpe.encoder(path, P.PATTERN), Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    for t in TEXTS:
+    for t in [*TEXTS, "<|endoftext|> plain", "a <|endoftext|>\n\n <|endoftext|><|endoftext|>b <|endoftext| >"]:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids
 
 

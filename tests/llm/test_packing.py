@@ -42,8 +42,7 @@ def check(rows, docs, tok):
 
 def test_pack_small_and_odd(spark):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
-    docs = [(1, "a b c"), (1, "a b c"), (None, None), (2, ""), (3, "word " * 5000), (4, "lorem ipsum " * 170)]
+    docs = [(1, "a b c"), (1, "a b c"), (None, None), (2, ""), (3, "word " * 5000), (4, "lorem ipsum " * 170), (5, "<|endoftext|> plain"), (6, "a <|endoftext|><|endoftext|>\n b<|endoftext"), (7, "x <|endoftext|>" * 700)]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, total int").repartition(3)
     check(packing.pack(df, PATH, P.PATTERN).collect(), docs, tok)
     assert packing.pack(df.limit(0), PATH, P.PATTERN).count() == 0
@@ -51,7 +50,6 @@ def test_pack_small_and_odd(spark):
 
 def test_pack_table(spark):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     docs = [(r.doc_id, r.text) for r in df.collect()]
     bins, tokens = check(packing.pack(df.repartition(5), PATH, P.PATTERN).collect(), docs, tok)

@@ -24,7 +24,7 @@ TREES = 12
 SAMPLE = 20_000  # vectors that the trees are fitted on, at most
 LEAF = 128  # sampled vectors in a leaf, at most
 SHARE = 0.06  # part of all (distinct vector, tree) entries that a query looks at ...
-LEAST = 4_000  # ... and the least number of them
+LEAST = 4_000  # ... and the least number of them, which is more than the share where there are fewer than 5,555 vectors
 BLOCK = 2048
 TOP = 5
 EVERY = 50
@@ -114,11 +114,17 @@ class Forest:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, v) of vectors that can be compared, in their own type: not null, not zero, all components finite."""
+    """(id, v) of vectors that can be compared, in their own type: not null, not zero, all components finite.
+
+    Vectors of different lengths have no cosine: those of the commonest length (of equally
+    common ones the largest) are the table's, all others cannot be compared.
+    """
     v = F.col("v")
     out = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null and size(v) > 0")
     fine = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return out.filter(fine & F.exists(v, lambda c: c != 0.0))
+    out = out.filter(fine & F.exists(v, lambda c: c != 0.0))
+    length = out.groupBy(F.size("v").alias("l")).count().orderBy(F.desc("count"), F.desc("l")).first()
+    return out.filter(F.size("v") == F.lit(length["l"] if length else 0))
 
 
 def matrix(column: pa.ListArray | pa.ChunkedArray) -> np.ndarray:
@@ -140,7 +146,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     Every other row is a candidate; ties fall to the smaller id. Vectors null, zero or with
     null or non-finite components take no part, nor do rows without an id. Rows that
     repeat an id with the same vector are one vector; with other vectors, the best of
-    them counts. All vectors must have one length. An empty table gives no rows.
+    them counts. Vectors of another length than the commonest take no part. An empty
+    table gives no rows.
     """
     small_batches(vectors, 10_000)
     spark = vectors.sparkSession
@@ -191,7 +198,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
             yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), pa.array(f, pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], ["tree", "leaf", "query_id", "qv"])
 
     queries = rows.join(asking.select(F.col("qid").alias("id")).distinct(), "id", "left_semi").select("id", "v")
-    walks = queries.repartition(F.xxhash64("id")).mapInArrow(walk, f"tree int, leaf int, query_id long, qv {kind}")
+    walks = queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id")).mapInArrow(walk, f"tree int, leaf int, query_id long, qv {kind}")
     parts = sizes_of(spark, count)
     split = (F.col("tree") == F.col("t_")) & (F.col("leaf") == F.col("f_"))
     base = rows.mapInArrow(place, f"tree int, leaf int, id long, first long, v {kind}").join(F.broadcast(parts), split).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))

@@ -83,7 +83,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept.
 
     Needs ``vec_id`` and ``embedding``; other columns are left out. Vectors that are null,
-    zero or hold null or non-finite components link with nothing. A null vec_id is never
+    zero, hold null or non-finite components or are of another length than the commonest
+    (of equally common ones the largest) link with nothing. A null vec_id is never
     linked: its component_id is null and it is kept. Rows that repeat an id with an equal
     vector are one vector. An empty table gives no rows.
     """

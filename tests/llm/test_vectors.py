@@ -13,11 +13,12 @@ def odd_rows():
     rows = [(i, [float(c) for c in base[i % 12] + 0.25 * rng.standard_normal(8)]) for i in range(150)]
     rows += [(200 + i, [float(c) for c in base[0]]) for i in range(8)]
     rows += [(200, rows[-8][1]), (300, None), (301, [0.0] * 8), (302, [1.0, None] + [0.0] * 6), (303, [math.nan] * 8), (304, [math.inf] + [0.0] * 7), (None, rows[0][1]), (350, [])]
+    rows += [(400, [1.0, 2.0]), (401, [1.0, 2.0]), (402, [1.0, 2.0, 3.0]), (450, [1.0] * 9)]
     return [(i, v, 1, "x") for i, v in rows]
 
 
 def usable(rows):
-    return {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
+    return {i: np.array(v, np.float32).astype(float) for i, v, *_ in rows if i is not None and v and None not in v and np.isfinite(v).all() and np.any(v) and len(v) in (8, 64)}
 
 
 def brute_links(rows, limit=0.95):
@@ -52,6 +53,19 @@ def test_links_against_brute_force(spark, monkeypatch):
     check_links(spark, odd_rows())
 
 
+def test_links_planted_in_many_cells(spark, monkeypatch):
+    """Chains and stars of links at and around the limit among vectors without structure."""
+    monkeypatch.setattr(embdup, "CELL", 200)
+    monkeypatch.setattr(embdup, "HOME", 100)
+    rng = np.random.default_rng(12)
+    x = list(rng.standard_normal((1500, 64)))
+    for k in range(400):
+        x.append(x[rng.integers(len(x))] + rng.uniform(0.1, 0.4) * rng.standard_normal(64))
+    rows = [(int(i), [float(c) for c in np.float32(v)], 1, "x") for i, v in zip(rng.permutation(len(x)), x, strict=True)]
+    assert sum(n > 0 for _, n, _ in brute_links(rows)) > 300
+    check_links(spark, rows)
+
+
 def test_links_of_the_table(spark):
     t = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
     check_links(spark, [(r.vec_id, r.embedding, r.label, "") for r in t])

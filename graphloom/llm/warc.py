@@ -138,9 +138,11 @@ def plan(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("payload_bytes", F.length("payload").cast("long")).withColumn("digest", F.sha1("payload"))
-    big = rows.filter(F.col("payload_bytes") >= least).groupBy(F.col("digest").alias("k")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").select("k", "last")
-    joined = rows.join(big, (F.col("digest") == F.col("k")) & (F.col("payload_bytes") >= least), "left")
-    return joined.withColumn("original", F.when(~F.col("last").eqNullSafe(F.col("page_id")), F.col("last"))).drop("k", "last")
+    known = rows.filter(F.col("payload_bytes") >= least).select("page_id", "digest")
+    big = known.groupBy(F.col("digest").alias("k")).agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null").select("k", "last")
+    # copies of one payload meet without their payloads; those travel by page
+    revisits = known.join(big, F.col("digest") == F.col("k")).filter(~F.col("last").eqNullSafe(F.col("page_id"))).select(F.col("page_id").alias("p"), "k", F.col("last").alias("original")).distinct()
+    return rows.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("k")) & (F.col("payload_bytes") >= least), "left").drop("p", "k")
 
 
 def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -200,7 +202,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     A task reads runs of frames, one at a time; a response's digest is computed from the
     payload read, a revisit has no payload (null) and reports its recorded digest and size.
     """
-    frames = manifest.select("bundle", "frame").distinct()
+    frames = manifest.select("bundle", "frame").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bundle", "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()

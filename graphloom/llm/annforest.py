@@ -149,7 +149,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding"
     them counts. Vectors of another length than the commonest take no part. An empty
     table gives no rows.
     """
-    small_batches(vectors, 10_000)
+    small_batches(vectors)
     spark = vectors.sparkSession
     ids = usable(vectors, id_col, vector).select("id", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), F.col("v")).alias("k2"), "v")
     rows = ids.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.first("v").alias("v"))

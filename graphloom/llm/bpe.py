@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from .common import rows_without_columns, small_batches
 
 CACHE_CHUNKS = 700_000
-BATCH_ROWS = 500
 
 
 def ranks_from_tiktoken(path: str) -> dict[bytes, int]:
@@ -160,7 +159,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keys: t
 
     Repeated rows, null keys and empty tables pass through; other columns are left out.
     """
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
     fields = [f for f in docs.schema if f.name in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", ids array<int>"
 

@@ -78,9 +78,18 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: T.Struc
     return df.mapInArrow(run, schema)
 
 
-def small_batches(df: DataFrame, rows: int) -> None:
-    """Bound the rows of an Arrow batch where texts may be long (a session setting)."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 20_000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound Arrow batches by bytes, as texts may be long, and by rows; a text larger than the bound is a batch by itself.
+
+    Both are settings of the session, read when a plan runs, so all operators set the same
+    values.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 # --- connected components -------------------------------------------------------------------
@@ -165,7 +174,7 @@ def shared_keys(keyed: DataFrame, value: str | None = None, first_value: str | N
     """
     names = ["key", "node", value, "a", first_value] if value else ["key", "node", "a"]
     wide = [F.col("key"), F.col("node"), *([F.col(value)] if value else [])]
-    small_batches(keyed, 20_000)
+    small_batches(keyed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)

@@ -88,7 +88,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     linked: its component_id is null and it is kept. Rows that repeat an id with an equal
     vector are one vector. An empty table gives no rows.
     """
-    small_batches(vectors, 10_000)
+    small_batches(vectors)
     spark = vectors.sparkSession
     keys = [F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(7), F.col("v")).alias("k2")]
     ids = usable(vectors).select("id", *keys, "v")

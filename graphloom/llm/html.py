@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-BATCH_ROWS = 500
 SIBLING_SHARE = 0.2
 LINKS_AT_MOST = 0.6  # lists and boxes within the container, but not in an article element, with a larger share of link text go
 LINK_BOX = 3  # if they have so many links
@@ -264,7 +263,7 @@ def extract(pages: DataFrame) -> DataFrame:
     browsers would in the usual cases; a page cut off anywhere keeps what it has. Repeated
     rows each get a row.
     """
-    small_batches(pages, BATCH_ROWS)
+    small_batches(pages)
     kinds = [pages.schema["page_id"].dataType.simpleString(), pages.schema["url"].dataType.simpleString()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,8 +48,8 @@ MOST_BITS = 11  # that may differ in the SimHash of whole lines of LINE_WORDS wo
 LINE_WORDS = 16
 BLOCK = 1024  # rows of a bucket compared at a time
 SEGMENT = 1 << 20  # bytes hashed at a time, about
+PAIRS = 256
 SEEN = 200_000  # nodes that a task remembers, so that a common line gives its keys once
-BATCH_ROWS = 500
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -304,6 +304,19 @@ def edit_distance(a: str, b: str) -> int:
     return d
 
 
+def common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by bits as in ``edit_distance`` but with fewer operations."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    rest = full
+    for c in b:
+        hit = rest & where.get(c, 0)
+        rest = (rest + hit) | (rest - hit)
+    return len(a) - (rest & full).bit_count()
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether the edit similarity is reached: 1 - distance / the longer length."""
     most = max(len(a), len(b))
@@ -313,14 +326,27 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= allowed:
         return True  # no more than writing the differing words anew
-    if most > 49 and len({a[k : k + 4] for k in range(len(a) - 3)} - {b[k : k + 4] for k in range(len(b) - 3)}) > 4 * allowed:
-        return False  # an edit takes away four 4-grams at most
+    if most > 49 and (len(a) + len(b)) / 2 - common(a, b) > allowed:
+        return False  # an edit takes away one character of the common ones at most, or half a one of both lengths
     return edit_distance(a, b) <= allowed
 
 
+def pair_counts(lines: list[str]) -> np.ndarray:
+    """Of each line, how many pairs of neighbouring characters fall into each of PAIRS places.
+
+    An edit takes away two pairs and adds two at most, so lines whose counts differ by more
+    than four for each edit allowed are not alike.
+    """
+    out = np.zeros((len(lines), PAIRS), np.int32)
+    for k, line in enumerate(lines):
+        c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[k] = np.bincount((c[:-1] * np.uint32(31) + c[1:]) % np.uint32(PAIRS), minlength=PAIRS)
+    return out
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells apart rows that repeat an id; rows without id take no part."""
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").filter("doc_id is not null")
 
 
@@ -333,54 +359,42 @@ def _lines_of(batch: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, node, second of every line with a word."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                lines, rows, numbers = _lines_of(batch)
-                some = np.flatnonzero(lines.n)
-                at = pa.array(rows[some])
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array(lines.node[some]), pa.array(lines.second[some])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "second"])
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, second long")
-
-
-def keyed_nodes(docs: DataFrame) -> DataFrame:
-    """key, node, sim (the value of ``block_keys``) of all lines; some repeat where a line does."""
+    """doc_id, text_key, line_no, node, second of every line with a word, and of a line that the task has not met before its keys and sim (the value of ``block_keys``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             if batch.num_rows:
-                lines = _lines_of(batch)[0]
+                lines, rows, numbers = _lines_of(batch)
                 some = np.flatnonzero(lines.n)
-                some = some[np.unique(lines.node[some], return_index=True)[1]]
-                some = some[[x not in seen for x in lines.node[some].tolist()]] if len(some) else some
-                if len(seen) + len(some) > SEEN:
+                node = lines.node[some]
+                new = np.zeros(len(some), bool)
+                new[np.unique(node, return_index=True)[1]] = True
+                new[new] = [x not in seen for x in node[new].tolist()]
+                if len(seen) + new.sum() > SEEN:
                     seen.clear()
-                seen.update(lines.node[some].tolist())
-                rows, keys, value = block_keys(lines, some)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(lines.node[some][rows]), pa.array(value[rows])], ["key", "node", "sim"])
+                seen.update(node[new].tolist())
+                at, keys, value = block_keys(lines, some[new])
+                sims, ends = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+                sims[new], ends[new] = value, np.bincount(at, minlength=len(value))
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)].astype(np.int32)), pa.array(keys[np.argsort(at, kind="stable")]))
+                of = pa.array(rows[some])
+                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(numbers[some]), pa.array(node), pa.array(lines.second[some]), pa.array(sims), lists]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "second", "sim", "keys"])
 
-    return _keyed(docs).mapInArrow(run, "key long, node long, sim long")
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, second long, sim long, keys array<long>")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(node, line): the normalised lines of the places (node, doc_id, text_key, line_no); may repeat where a row does."""
+    lines = _keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).filter("raw <> ''")
+    found = lines.join(places.hint("shuffle_hash"), ["doc_id", "line_no", "text_key"]).select("node", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                lines, rows, numbers = _lines_of(batch)
-                some = np.flatnonzero(lines.n)
-                at = pa.array(rows[some])
-                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(numbers[some]), pa.array(lines.node[some]), pa.array([lines.text(k) for k in some], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "line"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalised(x) for x in batch.column(1).to_pylist()], pa.string())], ["node", "line"])
 
-    found = _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, line string")
-    return found.join(places.hint("shuffle_hash"), ["node", "doc_id", "line_no", "text_key"]).select("node", "line")
+    return found.mapInArrow(run, "node long, line string")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -396,7 +410,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 
 TILE = ("key", "ta", "tb")
-_TILED = "key long, ta int, tb int, mine int, node long, root long, sim long"
+_TILED = "key long, ta int, tb int, lo long, mine int, node long, root long, sim long"
+KNOWN = 1_000_000  # pairs that a task remembers as unlike, so as not to compare them again
 
 
 def _open_pairs(columns: dict[str, np.ndarray], lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -415,8 +430,8 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of tiles that have a candidate in another component."""
     at = members.select("key", "node", "sim").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     at = saved(at, "labelled")
-    mixed_keys = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
-    rows = tiles(at.join(mixed_keys, "key", "left_semi"), "key", "node", BLOCK).select(*TILE, "mine", "node", "root", "sim")
+    several = at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "lo")
+    rows = tiles(at.join(several, "key"), "key", "node", BLOCK).select(*TILE, "lo", "mine", "node", "root", "sim")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in group_runs(batches, TILE):
@@ -435,40 +450,59 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _between(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between components, from comparing the lines of open rows within tiles; those that join nothing new in a tile are left out."""
+    """Links (a, b) between components, from comparing the lines of open rows within tiles.
+
+    Tiles of buckets with the same smallest component go to one task, block by block, as
+    they hold much the same lines: components that a task has joined are not compared
+    again, nor are pairs that it found unlike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in group_runs(batches, TILE):
-            columns = {c: table[c].to_numpy() for c in table.column_names if c != "line"}
-            node, root, line, a, b = columns["node"], columns["root"], table["line"].to_pylist(), [], []
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                joined: dict[int, int] = {}
+        joined: dict[int, int] = {}
+        unlike: set[tuple[int, int]] = set()
 
-                def top(r: int, joined=joined) -> int:
-                    while r in joined:
-                        r = joined[r]
-                    return r
+        def top(r: int) -> int:
+            while r in joined:
+                r = joined[r]
+            return r
 
+        for table, starts in group_runs(batches, ("lo", *TILE)):
+            columns = {c: table[c].to_numpy() for c in table.column_names if c != "line"}
+            node, root, sim, line, a, b = columns["node"], columns["root"], columns["sim"], table["line"].to_pylist(), [], []
+            counts, sizes = pair_counts(line), np.array([len(x) for x in line])
+            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 for i, others in _open_pairs(columns, lo, hi):
-                    for j in others:
+                    most = (1 - similarity) * np.maximum(sizes[others], sizes[i]) + 1e-9
+                    others = others[np.abs(counts[others] - counts[i]).sum(1) <= 4 * np.floor(most)]
+                    for j in others[np.argsort(np.bitwise_count((sim[others] ^ sim[i]) & ((1 << BITS) - 1)), kind="stable")]:
                         p, q = top(int(root[i])), top(int(root[j]))
-                        if p != q and alike(line[i], line[j], similarity):
+                        if p == q:
+                            continue
+                        pair = (int(node[i]), int(node[j])) if node[i] < node[j] else (int(node[j]), int(node[i]))
+                        if pair in unlike:
+                            continue
+                        if alike(line[i], line[j], similarity):
                             joined[p] = q
-                            a.append(int(node[i]))
-                            b.append(int(node[j]))
+                            a.append(pair[0])
+                            b.append(pair[1])
+                        else:
+                            if len(unlike) >= KNOWN:
+                                unlike.clear()
+                            unlike.add(pair)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    with_lines = rows.join(texts, "node").select(*TILE, "mine", "node", "root", "sim", "line")
-    small_batches(rows, BATCH_ROWS)
-    return saved(with_lines.repartition(*TILE).sortWithinPartitions(*TILE, "node").mapInArrow(run, "a long, b long"), "links")
+    with_lines = rows.join(texts, "node").select("lo", *TILE, "mine", "node", "root", "sim", "line")
+    small_batches(rows)
+    return saved(with_lines.repartition("lo", "ta", "tb").sortWithinPartitions("lo", *TILE, "node").mapInArrow(run, "a long, b long"), "links")
 
 
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The occurrences of all lines; the distinct lines with first place and number; (node, root) of lines in a group with others."""
-    lines = saved(occurrences(docs), "occurrences")
+    whole = saved(occurrences(docs), "occurrences")
+    lines = whole.select("doc_id", "text_key", "line_no", "node", "second")
     place = F.struct("doc_id", "line_no", "text_key")
     nodes = saved(lines.groupBy("node", "second").agg(F.min(place).alias("at"), F.count("*").alias("n")), "nodes")
-    members = saved(shared_keys(keyed_nodes(docs), "sim", "sa"), "buckets")
+    members = saved(shared_keys(whole.select(F.explode("keys").alias("key"), "node", "sim"), "sim", "sa"), "buckets")
     shared = members.filter("node <> a").filter(_near("sim", "sa")).groupBy("a", "node").agg(F.count("*").alias("n"))
     first = saved(shared.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
     wanted = nodes.select("node", "at.*").join(members.select("node").distinct(), "node", "left_semi")

@@ -37,7 +37,6 @@ PERCENT = 75  # link where 100 * intersection >= PERCENT * union
 MINIMA, BANDS = 128, 32
 FLOOR = 0.6
 BLOCK = 1024
-BATCH_ROWS = 500
 CACHE_WORDS = 500_000
 
 _RNG = np.random.default_rng(20240131)
@@ -106,7 +105,7 @@ def unpacked(raw: pa.Scalar) -> np.ndarray:
 
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (128-bit hash of the set, null if empty) and sig of every row."""
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +122,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, ids: DataFrame, keys: DataFrame) -> DataFrame:
     """(id, shingles binary) of the documents in ``ids(id)``, made from their texts."""
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +240,7 @@ def _between(groups: DataFrame, rows: DataFrame, docs: DataFrame, reps: DataFram
                             b.append(int(ids[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
     out = saved(_in_tiles(tiled.select(*TILE, "mine", "id", "root", "n", "sig", "words"), run, "a long, b long"), "links")
     discard(sets)
     return out

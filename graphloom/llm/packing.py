@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BATCH_ROWS, encoder
+from .bpe import encoder
 from .common import rows_without_columns, saved, small_batches
 
 CAPACITY = 1024
@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer_path: str, pattern: str, capacity: int = CAP
     table gives no rows. Returns one row per piece: doc_id, piece, start, length,
     ids_crc32, sequence_id, offset, and total (the tokens in the sequence).
     """
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
     end = np.array([end_id], "<u4").tobytes()
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

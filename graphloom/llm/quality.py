@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BATCH_ROWS
 from .common import rows_without_columns, small_batches
 from .labelled import fit_sample, held_out
 
@@ -146,7 +145,7 @@ def score(docs: DataFrame, model: AttentionModel, columns: tuple[str, ...] = ("d
 
     A null or empty text is one empty passage. Whole texts are scored; repeated rows each get their score.
     """
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
     fields = [docs.schema[c] for c in columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, n_passages int, top_passage int"
 

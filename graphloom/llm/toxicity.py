@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BATCH_ROWS
 from .common import rows_without_columns, small_batches
 from .labelled import fit_sample, held_out
 
@@ -316,7 +315,7 @@ def score(docs: DataFrame, model: SpanTagger, columns: tuple[str, ...] = ("doc_i
     A null or empty text has no tokens and gets the score of no evidence. Whole texts are
     tagged; repeated rows each get their score.
     """
-    small_batches(docs, BATCH_ROWS)
+    small_batches(docs)
     fields = [docs.schema[c] for c in columns]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, spans array<struct<start:int,end:int,p:double>>"
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES weights

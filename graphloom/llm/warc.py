@@ -32,7 +32,6 @@ LEAST = 1000
 FRAME_BYTES = 1 << 20  # a frame is closed once it holds so much
 BUNDLE_BYTES = 256 << 20  # and a bundle once its records make up so much
 LEVEL = 3
-BATCH_ROWS = 200
 SEEK_MAGIC, SKIP_MAGIC = 0x8F92EAB1, 0x184D2A5E
 DATE = "2024-01-01T00:00:00Z"
 
@@ -152,7 +151,7 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
     manifest.
     """
     spark = pages.sparkSession
-    small_batches(pages, BATCH_ROWS)
+    small_batches(pages)
     where = folder or fresh_path(spark, "warc")
     planned = plan(pages).select("page_id", "url", "payload", "payload_bytes", "digest", "original")
 

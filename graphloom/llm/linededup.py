@@ -304,19 +304,6 @@ def edit_distance(a: str, b: str) -> int:
     return d
 
 
-def common(a: str, b: str) -> int:
-    """The length of the longest common subsequence, by bits as in ``edit_distance`` but with fewer operations."""
-    where: dict[str, int] = {}
-    for k, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
-    rest = full
-    for c in b:
-        hit = rest & where.get(c, 0)
-        rest = (rest + hit) | (rest - hit)
-    return len(a) - (rest & full).bit_count()
-
-
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether the edit similarity is reached: 1 - distance / the longer length."""
     most = max(len(a), len(b))
@@ -326,8 +313,8 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= allowed:
         return True  # no more than writing the differing words anew
-    if most > 49 and (len(a) + len(b)) / 2 - common(a, b) > allowed:
-        return False  # an edit takes away one character of the common ones at most, or half a one of both lengths
+    if most > 49 and len({a[k : k + 4] for k in range(len(a) - 3)} - {b[k : k + 4] for k in range(len(b) - 3)}) > 4 * allowed:
+        return False  # an edit takes away four 4-grams at most
     return edit_distance(a, b) <= allowed
 
 
@@ -534,8 +521,8 @@ def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     grouped = nodes.join(roots, "node").select("node", "second", "root", "at")
     firsts = grouped.groupBy("root").agg(F.min("at").alias("first"))
     active = grouped.join(firsts, "root").select("node", "second", "first").union(nodes.filter("n > 1").join(roots.select("node"), "node", "left_anti").select("node", "second", F.col("at").alias("first")))
-    gone = lines.join(active, ["node", "second"]).filter(F.struct("doc_id", "line_no", "text_key") != F.col("first")).select("doc_id", "text_key", "line_no").distinct()
-    drops = gone.groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("drops"))
+    gone = lines.join(active, ["node", "second"]).filter(F.struct("doc_id", "line_no", "text_key") != F.col("first")).select("doc_id", "text_key", "line_no")
+    drops = gone.groupBy("doc_id", "text_key").agg(F.collect_set("line_no").alias("drops"))
     # every column of the input in one struct, so that no name can clash
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
     joined = whole.join(drops.hint("shuffle_hash"), ["doc_id", "text_key"], "left")

@@ -195,18 +195,6 @@ def test_counts_of_pairs_bound_the_distance():
         assert abs(x - y).sum() <= 4 * distance(a, b)
 
 
-def test_common_subsequence():
-    r = random.Random(22)
-    for _ in range(500):
-        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(12))) for _ in range(2))
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert L.common(a, b) == best[-1][-1]
-        assert (len(a) + len(b)) / 2 - L.common(a, b) <= distance(a, b)
-
-
 def test_crowd_of_half_similar_lines(spark, monkeypatch):
     """More lines of one bucket than a block holds, unlike each other but for some pairs."""
     monkeypatch.setattr(L, "BLOCK", 32)

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import corpus_pipeline as C
@@ -15,9 +16,9 @@ def test_stages_act_on_what_is_left(spark):
         before, after = {r.doc_id: r for r in left.collect()}, {r.doc_id: r for r in out.collect()}
         assert set(after) <= set(before)
         if name == "line dedup":
-            assert set(after) == set(before)
-            want = {r.doc_id: r.text for r in linededup.deduplicate(left).collect()}
-            assert {i: r.text for i, r in after.items()} == want
+            want = {r.doc_id: r for r in linededup.deduplicate(left).collect()}
+            emptied = {i for i, r in want.items() if r.n_dropped and not re.search(r"\w", r.text)}
+            assert emptied and {i: r.text for i, r in after.items()} == {i: r.text for i, r in want.items() if i not in emptied}
         elif name == "MinHash near-dedup":
             want = {r.doc_id for r in neardup.near_duplicates(left).collect() if r.kept}
             assert set(after) == want
@@ -31,6 +32,13 @@ def test_stages_act_on_what_is_left(spark):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in left.select("doc_id").collect()}
 
 
+def test_documents_emptied_by_the_line_stage_go(spark):
+    rows = [(1, "one line of words here\nand another one"), (2, "One line of words, here!"), (3, "одна строка слов\nand another one"), (4, "--\n"), (5, None), (6, ""), (None, "and another one")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in C.line_stage(spark, docs, SF).collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 3: ("одна строка слов", 16), 4: ("--\n", 3), 5: (None, None), 6: ("", 0), None: ("and another one", 15)}
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     assert C.run(spark, SF).count() > 50
     for t in ("documents", "labels"):

@@ -4,7 +4,10 @@ Quality and toxicity classifiers drop what they reject, repeated lines go, one d
 of each near-duplicate group stays, and what is left is packed into sequences.
 
 Null texts count as empty. Rows with a null doc_id pass the filters like any other row;
-duplicate handling leaves them alone. An empty table runs through and gives no rows.
+duplicate handling leaves them alone. A document all of whose lines occur in earlier ones
+leaves the line stage with no line left and is dropped there, as nothing of it remains; a
+document that had no words from the start is kept. An empty table runs through and gives
+no rows.
 """
 
 from __future__ import annotations
@@ -13,10 +16,12 @@ import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from graphloom.llm import linededup, neardup, packing, quality, toxicity
 from graphloom.llm.common import shared_dir
 
+WORD = r"[\p{L}\p{N}_]"  # a character of a word, in any script
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -37,8 +42,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each less the lines that occur earlier; n_chars is brought up to date."""
-    return linededup.deduplicate(docs).select(*COLUMNS)
+    """The documents, each less the lines that occur earlier, without those that lose their last word by it; n_chars is brought up to date."""
+    left = linededup.deduplicate(docs)
+    return left.filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD)).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

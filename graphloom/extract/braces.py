@@ -15,7 +15,7 @@ from .base import Collector, lines_between, stem
 NO_CALL = frozenset("if for while switch catch return function typeof super constructor synchronized try do else new throw instanceof assert import await yield void delete in of case".split())
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-_CALL = re.compile(r"(?<![\w$.])((?:new\s+)?)([A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*(?:<[\w\s,.<>?]*>)?\s*\(")
+_CALL = re.compile(r"(?:(?<![\w$.])|(?<=[)\]]\.))((?:new\s+)?)([A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*(?:<[\w\s,.<>?]*>)?\s*\(")
 _JS_IMPORT = re.compile(r"^[ \t]*import\s+(?:[\w*{}\s,$]+\s+from\s+)?([\"'])([^\"'\n]+)\1", re.M)
 _JS_CLASS = re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([A-Za-z_$][\w$.]*))?[^{;]*\{")
 _JS_FUNCTION = re.compile(r"(?<![\w$.])(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)\s*\([^)]*\)[^{;]*\{")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .config import Settings
+from .config import LOG, Settings
 from .extract import base
 from .functions import text as X
 from .operators import chunking, context, graph, retrieval
 from .plans.runtime import materialised
 from .sources import files, logs, store
 
+MAX_DEPTH, MOST_RESULTS = 5, 100  # of a trace asked for here; the operator has no bound of its own
 ROUTES = ("health", "stats", "search", "context", "entity", "callers", "callees", "trace_calls", "impact", "query")
 
 
@@ -49,7 +50,11 @@ class Workspace:
         e, r = store.load(spark, path)
         settings = settings or Settings()
         expected = {k: getattr(settings.embedding, k) for k in ("provider", "model", "dimension", "normalize")}
-        chunks, vectors, _ = store.load_index(spark, f"{path}/index", expected)
+        try:
+            chunks, vectors, _ = store.load_index(spark, f"{path}/index", expected)
+        except ValueError as error:  # an index made with other settings: names are searched instead
+            LOG.warning("%s", error)
+            chunks = vectors = None
         return cls(spark, e, r, chunks, vectors, settings)
 
     # --- lookups and traversal
@@ -73,7 +78,7 @@ class Workspace:
         return graph.callees(self.relationships, self.entities, entity_id).select("id", F.col("qualified_name").alias("name"))
 
     def trace_calls(self, entity_id: str, direction: str = "callees", depth: int = 1, max_results: int = 50) -> DataFrame:
-        return graph.trace_calls(self.relationships, self.entities, entity_id, direction, depth, max(1, min(max_results, 100)))
+        return graph.trace_calls(self.relationships, self.entities, entity_id, direction, max(1, min(depth, MAX_DEPTH)), max(1, min(max_results, MOST_RESULTS)))
 
     def impact(self, entity_id: str, max_depth: int = 3) -> DataFrame:
         return graph.impact(self.relationships, self.entities, entity_id, max_depth)
@@ -83,7 +88,7 @@ class Workspace:
     def hits(self, question: str, limit: int = 10, now: str | None = None) -> DataFrame:
         """Chunks for a question: both legs, fused, reranked, with dependencies; the sparse leg alone where there are no vectors."""
         asked = self.spark.createDataFrame([(0, question)], "qid int, text string")
-        found = retrieval.overlap_search(retrieval.postings(self.chunks), asked, 4 * limit)
+        found = retrieval.overlap_search(self.chunks, asked, 4 * limit)
         if self.vectors is not None:
             tokens = asked.select(F.col("qid").alias("id"), X.tokenize(F.col("text")).alias("tokens"))
             vector = chunking.embed(tokens, self.settings.embedding.dimension).select(F.col("id").alias("qid"), "embedding")
@@ -92,8 +97,9 @@ class Workspace:
         else:
             found = found.select("qid", "id", F.col("overlap").cast("double").alias("score"), "rank")
         best = retrieval.rerank(found, asked, self.chunks, limit, now)
-        calls = self.relationships.filter("kind = 'calls'").select("source_id", "target_id", F.lit(0).alias("ord"))
-        return retrieval.expand(best, self.chunks.withColumn("ord", F.lit(0)), calls)
+        calls = self.relationships.filter("kind = 'calls'")
+        calls = calls.select("source_id", "target_id", "ord") if "ord" in calls.columns else calls.select("source_id", "target_id", F.lit(0).alias("ord"))
+        return retrieval.expand(best, self.chunks, calls)
 
     def context(self, target: str, task: str | None = None, budget: int = context.BUDGET) -> DataFrame:
         """Context of the entity a text names (by id, else the first match), by task or in fixed order; no rows if there is none."""
@@ -102,9 +108,20 @@ class Workspace:
     def summary(self, query: str, most: int = 5) -> DataFrame:
         return context.search_summary(graph.search(self.entities, query, most), query)
 
+    def named(self, question: str, most: int) -> DataFrame:
+        """qid, entity_id, rank: the first entities that the question's identifiers name, in the order of the question; what is left where there is no index or no hit."""
+        words = self.spark.createDataFrame([(question,)], "q string").select(F.posexplode(X.keywords(F.col("q"))).alias("pos", "word"))
+        meant = F.contains(F.lower("name"), F.lower("word")) | F.contains(F.lower("qualified_name"), F.lower("word"))
+        found = self.entities.join(F.broadcast(words), meant).groupBy(F.col("id").alias("entity_id")).agg(F.min(F.struct("pos", "ord")).alias("at"))  # ten words at most
+        first = found.orderBy("at", "entity_id").limit(most)
+        rank = F.row_number().over(Window.orderBy("at", "entity_id"))
+        return materialised(first.select(F.lit(0).alias("qid"), "entity_id", rank.alias("rank")), "named")
+
     def _contexts(self, ids: DataFrame, task: str | None, budget: int) -> DataFrame:
         wanted = self.entities.join(ids, "id", "left_semi")
-        edges = self.relationships.join(ids.select(F.col("id").alias("i")), (F.col("source_id") == F.col("i")) | (F.col("target_id") == F.col("i")), "left_semi")
+        out = ids.select(F.col("id").alias("source_id"))
+        into = self.relationships.join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi").select(self.relationships.columns)
+        edges = self.relationships.join(out, "source_id", "left_semi").union(into.join(out, "source_id", "left_anti").select(self.relationships.columns))
         parts = context.sections(self.entities, edges).join(wanted.select("id"), "id", "left_semi")
         if task is None:
             return context.synthesize_fixed(parts, budget)
@@ -116,8 +133,11 @@ class Workspace:
         chosen, sure = (task, 1.0) if task else (row["task"], row["confidence"])
         if max_tokens <= 0 or entities <= 0:
             return self.spark.createDataFrame([(chosen, sure, "none", "", 0, 0.0, False, "model")], _ANSWER)
-        hits = self.hits(question, max(10, 5 * entities))
-        ids = retrieval.distinct_entities(hits, entities)
+        mode, ids = "semantic", None
+        if self.chunks is not None:
+            ids = materialised(retrieval.distinct_entities(self.hits(question, max(10, 5 * entities)), entities), "hits")
+        if ids is None or ids.isEmpty():
+            mode, ids = "lexical", self.named(question, entities)
         each = max(200, min(2000, max_tokens // entities))
         made = self._contexts(ids.select(F.col("entity_id").alias("id")), chosen, each).join(ids.select(F.col("entity_id").alias("id"), "rank"), "id")
         whole = made.agg(
@@ -127,7 +147,7 @@ class Workspace:
             F.coalesce(F.bool_or("truncated"), F.lit(False)).alias("truncated"),
         )
         answer = context.gate(F.col("sufficiency"), F.col("text"), threshold=self.settings.threshold)
-        return whole.select(F.lit(chosen).alias("task"), F.lit(float(sure)).alias("confidence"), F.lit("semantic").alias("mode"), "text", "tokens", "sufficiency", "truncated", answer.alias("answer_from"))
+        return whole.select(F.lit(chosen).alias("task"), F.lit(float(sure)).alias("confidence"), F.lit(mode).alias("mode"), "text", "tokens", "sufficiency", "truncated", answer.alias("answer_from"))
 
 
 _ANSWER = "task string, confidence double, mode string, text string, tokens int, sufficiency double, truncated boolean, answer_from string"

@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from ..plans.runtime import materialised
 from ..schema import REFERENCE
 
-MAX_DEPTH = 5
-
 
 # --- lookups ---------------------------------------------------------------------------------
 
@@ -151,7 +149,7 @@ def trace_calls(r: DataFrame, e: DataFrame, entity_id: str, direction: str = "ca
     """
     if direction not in ("callees", "callers"):
         raise ValueError(f"direction must be callees or callers, not {direction}")
-    depth = max(1, min(depth, MAX_DEPTH))
+    depth = max(1, depth)
     spark = e.sparkSession
     near, far = ("source_id", "target_id") if direction == "callees" else ("target_id", "source_id")
     edges = r.filter(F.col("kind") == "calls").select(F.col(near).alias("near"), F.col(far).alias("far"), "ord")
@@ -190,9 +188,8 @@ def impact(r: DataFrame, e: DataFrame, entity_id: str, max_depth: int = 3, cap:
     Risk is the mean of breadth (20 dependents, transitive ones at half, make 1), spread
     (5 files make 1) and the kind of the entity. An unknown id has zero counts and risk.
     """
-    direct = trace_calls(r, e, entity_id, "callers", 1, cap).select("id", "file", F.lit(1).alias("direct"))
-    beyond = trace_calls(r, e, entity_id, "callers", max_depth, cap).select("id", "file", F.lit(0).alias("direct"))
-    per = direct.union(beyond).groupBy("id").agg(F.max("direct").alias("direct"), F.first("file").alias("file"))
+    # the first hop follows one node, so no limit cuts it and it holds all direct dependents
+    per = trace_calls(r, e, entity_id, "callers", max_depth, cap).select("file", (F.col("call_depth") == 1).cast("int").alias("direct"))
     sums = per.agg(F.coalesce(F.sum("direct"), F.lit(0)).alias("n_direct"), F.coalesce(F.sum(1 - F.col("direct")), F.lit(0)).alias("n_transitive"), F.sort_array(F.collect_set("file")).alias("files"))
     kinds = e.filter(F.col("id") == entity_id).agg(F.max("kind").alias("kind"))
     breadth = F.least(F.lit(1.0), (F.col("n_direct") + F.col("n_transitive") * 0.5) / 20)

@@ -6,6 +6,10 @@ one job. Ranks start at 1 and ties are settled by ``ord``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +19,7 @@ SIZE, OVERLAP = 1000, 100
 RRF_K, ALPHA = 60, 0.5
 BOOST_DOCSTRING, BOOST_RECENT, BOOST_EXACT, BOOST_KIND = 1.2, 1.1, 1.5, 2.0
 RECENT_DAYS = 7
+ASKED_ROWS = 200_000  # (query, token) rows or query vectors that are sent to the data in one piece; beyond, they are joined
 
 
 def chunk(e: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -38,29 +43,105 @@ def _top(scored: DataFrame, limit: int, *order: Column) -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
 
 
-def overlap_search(index: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """qid, id, overlap, rank: chunks that share most distinct tokens with the query's text."""
+def _collected(asked: DataFrame) -> pa.Table | None:
+    """Queries as a table, if they are few enough to be sent to the data."""
+    few = asked.limit(ASKED_ROWS + 1).toArrow()
+    return few if few.num_rows <= ASKED_ROWS else None
+
+
+def overlap_search(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
+    """qid, id, overlap, rank: chunks that share most distinct tokens with the query's text.
+
+    ``chunks`` has id, ord and content, or tokens already made. The queries' tokens are
+    sent to the chunks, so nothing but each batch's best per query is shuffled; with more
+    than ASKED_ROWS of them an inverted index is joined instead.
+    """
     asked = queries.select("qid", F.explode(F.array_distinct(X.tokenize(F.col("text")))).alias("token"))
-    found = index.join(asked, "token").groupBy("qid", "id").agg(F.count("*").alias("overlap"), F.min("ord").alias("ord"))
+    few = _collected(asked)
+    if few is None:
+        found = postings(chunks).join(asked, "token").groupBy("qid", "id").agg(F.count("*").alias("overlap"), F.min("ord").alias("ord"))
+    else:
+        kind = asked.schema["qid"].dataType.simpleString()
+        qids = few["qid"].unique()
+        number = {q: k for k, q in enumerate(qids.to_pylist())}
+        where: dict[str, list[int]] = {}
+        for q, token in zip(few["qid"].to_pylist(), few["token"].to_pylist(), strict=True):
+            where.setdefault(token, []).append(number[q])
+        of_token = {t: np.array(v, np.int64) for t, v in where.items()}
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits, rows = [], []
+                for row, tokens in enumerate(batch.column(2).to_pylist()):
+                    some = [of_token[t] for t in tokens or () if t in of_token]
+                    if some:
+                        hits.append(np.concatenate(some))
+                        rows.append(np.full(len(hits[-1]), row, np.int64))
+                n = len(number)
+                both, overlap = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]) * n + np.concatenate([np.zeros(0, np.int64), *hits]), return_counts=True)
+                q = both % n if n else both
+                order = np.lexsort((-overlap, q))
+                start = np.searchsorted(q[order], q[order])
+                # all that reach the overlap of the last one kept, so that ties are settled later
+                last = overlap[order][np.minimum(start + limit - 1, len(order) - 1)]
+                same = q[order][np.minimum(start + limit - 1, max(len(order) - 1, 0))] == q[order]
+                keep = order[~same | (overlap[order] >= last)]
+                at = pa.array(both[keep] // n if n else both[keep])
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q[keep])), batch.column(0).take(at), pa.array(overlap[keep]), batch.column(1).take(at)], ["qid", "id", "overlap", "ord"])
+
+        tokens = F.array_distinct(F.col("tokens") if "tokens" in chunks.columns else X.tokenize(F.col("content")))
+        rows = chunks.select("id", "ord", tokens.alias("tokens"))
+        found = rows.mapInArrow(run, f"qid {kind}, id string, overlap long, ord {rows.schema['ord'].dataType.simpleString()}")
     return _top(found, limit, F.desc("overlap"), F.col("ord"), F.col("id")).select("qid", "id", "overlap", "rank")
 
 
 def knn(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """qid, id, score, rank: exact search by inner product of every query with every vector.
 
-    Queries are a stated set: they are sent to the vectors in one piece, which keeps the
-    scan of the vectors free of shuffles; each task keeps its best ``limit`` per query
-    before anything is exchanged (the limit is pushed below the window).
+    Queries are a stated set of at most ASKED_ROWS: they are sent to the vectors in one
+    piece, which keeps the scan of the vectors free of shuffles, and each batch gives its
+    best ``limit`` per query (a matrix product) before anything is exchanged. Null vectors
+    and those of another length than a query's are not found by it.
     """
-    scored = vectors.crossJoin(queries.select("qid", F.col("embedding").alias("asked"))).select("qid", "id", F.round(X.dot(F.col("embedding"), F.col("asked")), 9).alias("score"), "ord")
+    few = _collected(queries.select("qid", "embedding").filter("embedding is not null"))
+    if few is None:
+        raise ValueError(f"more than {ASKED_ROWS} query vectors: ask in several calls")
+    kind = queries.schema["qid"].dataType.simpleString()
+    by_length: dict[int, tuple[list[int], list]] = {}
+    for k, v in enumerate(few["embedding"].to_pylist()):
+        rows, made = by_length.setdefault(len(v), ([], []))
+        rows.append(k)
+        made.append(v)
+    asked = {n: (np.array(rows), np.array(made, np.float64)) for n, (rows, made) in by_length.items() if n}
+    qids = few["qid"].combine_chunks() if few.num_rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            n = np.diff(lists.offsets.to_numpy())
+            for length, (rows, q) in asked.items():
+                some = np.flatnonzero((n == length) & ~np.asarray(lists.is_null()))
+                if not len(some):
+                    continue
+                flat = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), length)
+                for lo in range(0, len(q), 1024):
+                    score = q[lo : lo + 1024] @ flat.T
+                    least = np.partition(score, -limit, axis=1)[:, -limit, None] if len(some) > limit else np.full((len(score), 1), -np.inf)
+                    i, j = np.where(score >= least - 1e-8)  # more than rounding can change
+                    at = pa.array(some[j])
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows[lo + i])), batch.column(0).take(at), pa.array(score[i, j]), batch.column(1).take(at)], ["qid", "id", "score", "ord"])
+
+    rows = vectors.select("id", "ord", "embedding")
+    found = rows.mapInArrow(run, f"qid {kind}, id string, score double, ord {rows.schema['ord'].dataType.simpleString()}")
+    scored = found.withColumn("score", F.round("score", 9))
     return _top(scored, limit, F.desc("score"), F.col("ord")).select("qid", "id", "score", "rank")
 
 
 def fuse(sparse: DataFrame, dense: DataFrame, limit: int, alpha: float = ALPHA, k: int = RRF_K) -> DataFrame:
     """qid, id, score, rank: reciprocal rank fusion; ties go by sparse, then dense rank."""
-    s = sparse.select("qid", "id", ((1 - alpha) / (k + F.col("rank"))).alias("part"), F.col("rank").alias("sparse_rank"), F.lit(None).cast("int").alias("dense_rank"))
-    d = dense.select("qid", "id", (alpha / (k + F.col("rank"))).alias("part"), F.lit(None).cast("int").alias("sparse_rank"), F.col("rank").alias("dense_rank"))
-    both = s.unionByName(d).groupBy("qid", "id").agg(F.sum("part").alias("score"), F.min("sparse_rank").alias("sr"), F.min("dense_rank").alias("dr"))
+    s = sparse.select("qid", "id", ((1 - alpha) / (k + F.col("rank"))).alias("sp"), F.col("rank").alias("sr"))
+    d = dense.select("qid", "id", (alpha / (k + F.col("rank"))).alias("dp"), F.col("rank").alias("dr"))
+    both = s.join(d, ["qid", "id"], "full").withColumn("score", F.coalesce("sp", F.lit(0.0)) + F.coalesce("dp", F.lit(0.0)))
     return _top(both, limit, F.desc(F.round("score", 12)), F.asc_nulls_last("sr"), F.asc_nulls_last("dr")).select("qid", "id", "score", "rank")
 
 
@@ -83,14 +164,16 @@ def expand(hits: DataFrame, chunks: DataFrame, calls: DataFrame) -> DataFrame:
     The first occurrence of a chunk decides, so a later hit that an earlier one already
     brought in as a dependency stays a dependency with score 0.
     """
-    at = hits.join(chunks.select("id", "entity_id", "ord"), "id")
-    own = at.select("qid", "id", "entity_id", "score", F.lit("retrieved").alias("source"), F.col("rank").alias("hit"), F.lit(0).alias("pos"), F.lit(0).cast("long").alias("o"))
-    called = at.select("qid", F.col("rank").alias("hit"), F.col("entity_id").alias("from_id"))
-    ends = called.join(calls.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("entity_id"), F.col("ord").alias("edge")), "from_id")
-    more = ends.join(chunks.select("id", "entity_id", "ord"), "entity_id").select("qid", "id", "entity_id", F.lit(0.0).alias("score"), F.lit("dependency").alias("source"), "hit", F.lit(1).alias("pos"), (F.col("edge") * 100_000 + F.col("ord") % 100_000).alias("o"))
-    first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("hit", "pos", "o"))
+    places = chunks.select("id", "entity_id", F.col("ord").alias("o"))
+    edges = calls.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("entity_id"), F.col("ord").alias("edge"))
+    at = hits.join(places, "id")
+    none = F.lit(None).cast(edges.schema["edge"].dataType).alias("edge")
+    own = at.select("qid", "id", "entity_id", "score", F.lit("retrieved").alias("source"), F.col("rank").alias("hit"), F.lit(0).alias("pos"), none, "o")
+    ends = at.select("qid", F.col("rank").alias("hit"), F.col("entity_id").alias("from_id")).join(edges, "from_id")
+    more = ends.join(places, "entity_id").select("qid", "id", "entity_id", F.lit(0.0).alias("score"), F.lit("dependency").alias("source"), "hit", F.lit(1).alias("pos"), "edge", "o")
+    first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("hit", "pos", "edge", "o"))
     once = own.unionByName(more).withColumn("n", first).filter("n = 1")
-    order = F.row_number().over(Window.partitionBy("qid").orderBy("hit", "pos", "o", "id"))
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("hit", "pos", "edge", "o", "id"))
     return once.withColumn("rank", order).select("qid", "id", "entity_id", "score", "source", "rank")
 
 

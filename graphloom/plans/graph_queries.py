@@ -140,6 +140,11 @@ def trace_callees_d3(spark, d):
     return graph.trace_calls(relationships(spark, d), entities(spark, d), CUSTOMER, "callees", 3, None)
 
 
+@query(_trace_sql("source_id", "target_id", CUSTOMER, 6))
+def trace_callees_d6(spark, d):
+    return graph.trace_calls(relationships(spark, d), entities(spark, d), CUSTOMER, "callees", 6, None)
+
+
 @query(_trace_sql("target_id", "source_id", PART, 2))
 def trace_callers_d2(spark, d):
     return graph.trace_calls(relationships(spark, d), entities(spark, d), PART, "callers", 2, 1000)

@@ -46,7 +46,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sparse(spark: SparkSession, d: str, limit: int = 4 * LIMIT) -> DataFrame:
-    return retrieval.overlap_search(retrieval.postings(chunks(spark, d)), questions(spark, d), limit)
+    return retrieval.overlap_search(chunks(spark, d), questions(spark, d), limit)
 
 
 def dense(spark: SparkSession, d: str, limit: int = 4 * LIMIT) -> DataFrame:

@@ -3,6 +3,7 @@ import textwrap
 
 from pyspark.sql import functions as F
 
+from graphloom import config
 from graphloom.extract import base, braces, config_yaml, markdown, python
 from graphloom.facade import Workspace
 from graphloom.operators import chunking
@@ -123,6 +124,9 @@ def test_workspace(spark, tmp_path):
     answer = v.query("Where is helper defined").first()
     assert answer.task == "locate" and "helper" in answer.text and answer.answer_from in ("local", "model")
     assert v.query("x", 0).first().mode == "none"
+    other = Workspace.load(spark, str(tmp_path / "out"), config.Settings(embedding=config.Embedding(dimension=7)))
+    fallback = other.query("Where is helper defined").first()
+    assert other.chunks is None and fallback.mode == "lexical" and "helper" in fallback.text
     header = [r.content for r in v.chunks.filter("type = 'module_header'").collect()]
     assert any('"""Module doc."""' in h for h in header)
     assert v.context(helper, "explain").first().included

@@ -304,6 +304,19 @@ def edit_distance(a: str, b: str) -> int:
     return d
 
 
+def common(a: str, b: str) -> int:
+    """The length of the longest common subsequence, by bits as in ``edit_distance`` but with fewer operations."""
+    where: dict[str, int] = {}
+    for k, c in enumerate(a):
+        where[c] = where.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    rest = full
+    for c in b:
+        hit = rest & where.get(c, 0)
+        rest = (rest + hit) | (rest - hit)
+    return len(a) - (rest & full).bit_count()
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     """Whether the edit similarity is reached: 1 - distance / the longer length."""
     most = max(len(a), len(b))
@@ -313,8 +326,8 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q) <= allowed:
         return True  # no more than writing the differing words anew
-    if most > 49 and len({a[k : k + 4] for k in range(len(a) - 3)} - {b[k : k + 4] for k in range(len(b) - 3)}) > 4 * allowed:
-        return False  # an edit takes away four 4-grams at most
+    if most > 49 and (len(a) + len(b)) / 2 - common(a, b) > allowed:
+        return False  # with d edits, half of both lengths less the common characters is d at most
     return edit_distance(a, b) <= allowed
 
 

@@ -20,6 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer bytes than one input split for each core, dealt to all cores.
+
+    Such a table may be one row group, so one task, whatever the number of cores. The
+    exchange is bounded by that size; a larger table has splits enough and stays as it is.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, so that lost executors lose nothing."""
     spark = df.sparkSession

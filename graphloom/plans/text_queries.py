@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import headings as H
-from .views import table
+from .views import documents, table
 
 QUERIES: dict = {}
 
@@ -34,12 +34,12 @@ def values(rows: list[tuple]) -> str:
 @query(f"SELECT doc_id, len({words_sql('text')}) AS n_tokens, array_to_string({words_sql('text')}, ' ') AS tokens FROM documents")
 def tokenize_docs(spark, d):
     t = X.tokenize(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    return documents(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 @query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({words_sql('text')}) AS token FROM documents) GROUP BY 1")
 def token_frequency(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(X.tokenize(F.col("text"))).alias("token"))
+    rows = documents(spark, d).select("doc_id", F.explode(X.tokenize(F.col("text"))).alias("token"))
     per = rows.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
 
@@ -130,4 +130,4 @@ def query_preview(spark, d):
 
 @query("SELECT doc_id, coalesce(list_sum(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]'), lambda w: ceil(length(w) / 4))), 0)::BIGINT AS n_tokens FROM documents")
 def count_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.token_count(F.col("text")).cast("long").alias("n_tokens"))
+    return documents(spark, d).select("doc_id", X.token_count(F.col("text")).cast("long").alias("n_tokens"))

@@ -8,18 +8,34 @@ inheritance by name, which has yet to be resolved.
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import EXTERNAL, REFERENCE
+from .runtime import spread
 
 RANK = 10**12  # ord = rank of the table (or edge family) * RANK + key
+_SCHEMAS: dict[tuple[str, float], StructType] = {}  # of local tables, by path and time of change
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; the schema of a local one is inferred by one job for all views that read it, a remote one's each time."""
+    path = f"{sf_dir}/{name}.parquet"
+    if not os.path.exists(path):
+        return spark.read.parquet(path)
+    at = (path, os.stat(path).st_mtime)
+    if at not in _SCHEMAS:
+        _SCHEMAS[at] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[at]).parquet(path)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work that costs much more than reading them."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def key(prefix: str, column: str) -> Column:
@@ -81,7 +97,7 @@ def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as entities to be chunked: entity_id, content, kind, has_docstring, ord."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    docs = documents(spark, sf_dir).join(labels, "doc_id", "left")
     return docs.select(
         F.concat(F.lit("doc::"), F.col("doc_id").cast("string")).alias("entity_id"),
         F.coalesce("text", F.lit("")).alias("content"),

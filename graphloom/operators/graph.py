@@ -154,12 +154,14 @@ def trace_calls(r: DataFrame, e: DataFrame, entity_id: str, direction: str = "ca
     near, far = ("source_id", "target_id") if direction == "callees" else ("target_id", "source_id")
     edges = r.filter(F.col("kind") == "calls").select(F.col(near).alias("near"), F.col(far).alias("far"), "ord")
     known = e.select(F.col("id").alias("far"))
-    frontier = spark.createDataFrame([(entity_id, 0)], "id string, pos long")
+    frontier = spark.range(1).select(F.lit(entity_id).alias("id"), F.col("id").alias("pos"))
     visited = frontier.select(F.col("id").alias("far"))
     levels, total = [], 0
     for hop in range(1, depth + 1):
-        step = frontier.join(edges, F.col("id") == F.col("near")).join(known, "far", "left_semi").join(visited, "far", "left_anti")
-        found = materialised(step.groupBy("far").agg(F.min(F.struct("pos", "ord")).alias("at")).select("far", "at.pos", "at.ord"), "trace")
+        # what a hop reaches is written before it meets the entities: its size is then known, so few ids are sent to the scan and no entity is shuffled
+        step = edges.join(frontier, F.col("near") == F.col("id")).groupBy("far").agg(F.min(F.struct("pos", "ord")).alias("at"))
+        step = materialised(step.join(visited, "far", "left_anti"), "step")
+        found = materialised(known.join(step, "far").dropDuplicates(["far"]).select("far", "at.pos", "at.ord"), "trace")
         if max_results is not None:
             cut, n = None, total
             for row in found.groupBy("pos").agg(F.count("*").alias("n")).orderBy("pos").limit(max_results + 1).collect():  # a row for each node followed

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import context, export, graph, history
 from . import views
-from .views import KG_SQL, entities, key, relationships, table
+from .views import KG_SQL, around, entities, key, relationships, table
 
 PART, CUSTOMER, NOW = "part::0", "customer::0", "2024-01-31"
 QUERIES: dict = {}
@@ -27,7 +27,7 @@ _COLS = [c.strip() for c in _ROW.split(",")]
 
 @query(f"{KG_SQL} SELECT {_ROW}, docstring, signature, source_code FROM kg_entities WHERE id = '{CUSTOMER}'")
 def get_entity(spark: SparkSession, d: str) -> DataFrame:
-    return graph.get_entity(entities(spark, d), CUSTOMER).select(*_COLS, "docstring", "signature", "source_code")
+    return graph.get_entity(entities(spark, d, entity_id=CUSTOMER), CUSTOMER).select(*_COLS, "docstring", "signature", "source_code")
 
 
 @query(f"{KG_SQL} SELECT {_ROW} FROM kg_entities WHERE contains(lower(name), 'an') OR contains(lower(qualified_name), 'an')")
@@ -47,12 +47,12 @@ def entities_by_kind(spark, d):
 
 @query(f"{KG_SQL} SELECT target_id, kind, ord FROM kg_relationships WHERE source_id = '{CUSTOMER}'")
 def outgoing(spark, d):
-    return graph.outgoing(relationships(spark, d), CUSTOMER).select("target_id", "kind", "ord")
+    return graph.outgoing(relationships(spark, d, "source_id", CUSTOMER), CUSTOMER).select("target_id", "kind", "ord")
 
 
 @query(f"{KG_SQL} SELECT source_id, kind, ord FROM kg_relationships WHERE target_id = '{PART}'")
 def incoming(spark, d):
-    return graph.incoming(relationships(spark, d), PART).select("source_id", "kind", "ord")
+    return graph.incoming(relationships(spark, d, "target_id", PART), PART).select("source_id", "kind", "ord")
 
 
 @query(f"""{KG_SQL} SELECT {_ROW} FROM (SELECT *, 0 AS prio FROM kg_entities WHERE id = 'order#1'
@@ -71,38 +71,38 @@ def _listed(df: DataFrame) -> DataFrame:
 
 @query(_edge_sql("calls", "target_id", "source_id", PART))
 def callers(spark, d):
-    return _listed(graph.callers(relationships(spark, d), entities(spark, d), PART))
+    return _listed(graph.callers(*around(spark, d, "target_id", PART, ("calls",)), PART))
 
 
 @query(_edge_sql("calls", "source_id", "target_id", PART))
 def callees(spark, d):
-    return _listed(graph.callees(relationships(spark, d), entities(spark, d), PART))
+    return _listed(graph.callees(*around(spark, d, "source_id", PART, ("calls",)), PART))
 
 
 @query(_edge_sql("contains", "source_id", "target_id", "nation::3"))
 def children(spark, d):
-    return _listed(graph.children(relationships(spark, d), entities(spark, d), "nation::3"))
+    return _listed(graph.children(*around(spark, d, "source_id", "nation::3", ("contains",)), "nation::3"))
 
 
 @query(f"""{KG_SQL}, f AS (SELECT target_id AS child_id, arg_min(source_id, ord) AS first_id FROM kg_relationships WHERE kind = 'contains' GROUP BY 1)
  SELECT child_id, e.id AS parent_id FROM f LEFT JOIN kg_entities e ON f.first_id = e.id""")
 def parent(spark, d):
-    return graph.parents(relationships(spark, d), entities(spark, d))
+    return graph.parents(relationships(spark, d, kinds=("contains",)), entities(spark, d))
 
 
 @query(f"{KG_SQL} SELECT target_id FROM kg_relationships WHERE kind = 'imports' AND source_id = '{CUSTOMER}'")
 def imports(spark, d):
-    return graph.imports(relationships(spark, d), CUSTOMER)
+    return graph.imports(relationships(spark, d, "source_id", CUSTOMER, ("imports",)), CUSTOMER)
 
 
 @query(f"{KG_SQL} SELECT {_ROW} FROM kg_entities WHERE id IN (SELECT target_id FROM kg_relationships WHERE kind IN ('calls','imports') AND source_id = '{CUSTOMER}')")
 def dependencies(spark, d):
-    return graph.dependencies(relationships(spark, d), entities(spark, d), CUSTOMER).select(*_COLS)
+    return graph.dependencies(*around(spark, d, "source_id", CUSTOMER, ("calls", "imports")), CUSTOMER).select(*_COLS)
 
 
 @query(f"{KG_SQL} SELECT {_ROW} FROM kg_entities WHERE id IN (SELECT source_id FROM kg_relationships WHERE kind IN ('calls','imports') AND target_id = '{PART}')")
 def dependents(spark, d):
-    return graph.dependents(relationships(spark, d), entities(spark, d), PART).select(*_COLS)
+    return graph.dependents(*around(spark, d, "target_id", PART, ("calls", "imports")), PART).select(*_COLS)
 
 
 @query(f"{KG_SQL} SELECT id, kind FROM kg_entities e WHERE NOT EXISTS (SELECT 1 FROM kg_relationships r WHERE r.kind IN ('calls','contains') AND r.source_id = e.id)")
@@ -120,7 +120,7 @@ def upsert_entities(spark, d):
  b AS (SELECT key, arg_min(id, (prio, ord)) AS target FROM k GROUP BY key)
  SELECT source_id, kind, coalesce(target, target_id) AS target_id, r.ord FROM kg_relationships r LEFT JOIN b ON starts_with(r.target_id, 'ref::') AND b.key = substr(r.target_id, 6) WHERE kind = 'inherits'""")
 def resolve_references(spark, d):
-    r = relationships(spark, d).filter("kind = 'inherits'")
+    r = relationships(spark, d, kinds=("inherits",))
     return graph.resolve(r, entities(spark, d)).select("source_id", "kind", "target_id", "ord")
 
 
@@ -137,17 +137,17 @@ def _trace_sql(near: str, far: str, start: str, depth: int) -> str:
 
 @query(_trace_sql("source_id", "target_id", CUSTOMER, 3))
 def trace_callees_d3(spark, d):
-    return graph.trace_calls(relationships(spark, d), entities(spark, d), CUSTOMER, "callees", 3, None)
+    return graph.trace_calls(relationships(spark, d, kinds=("calls",)), entities(spark, d), CUSTOMER, "callees", 3, None)
 
 
 @query(_trace_sql("source_id", "target_id", CUSTOMER, 6))
 def trace_callees_d6(spark, d):
-    return graph.trace_calls(relationships(spark, d), entities(spark, d), CUSTOMER, "callees", 6, None)
+    return graph.trace_calls(relationships(spark, d, kinds=("calls",)), entities(spark, d), CUSTOMER, "callees", 6, None)
 
 
 @query(_trace_sql("target_id", "source_id", PART, 2))
 def trace_callers_d2(spark, d):
-    return graph.trace_calls(relationships(spark, d), entities(spark, d), PART, "callers", 2, 1000)
+    return graph.trace_calls(relationships(spark, d, kinds=("calls",)), entities(spark, d), PART, "callers", 2, 1000)
 
 
 @query(f"""{KG_SQL}, t(id, n) AS (SELECT '{PART}', 0 UNION SELECT r.source_id, t.n + 1 FROM t JOIN kg_relationships r ON r.target_id = t.id AND r.kind = 'calls' JOIN kg_entities x ON x.id = r.source_id WHERE t.n < 3),
@@ -155,7 +155,7 @@ def trace_callers_d2(spark, d):
  s AS (SELECT count(*) FILTER (n = 1) AS a, count(*) FILTER (n > 1) AS b, count(DISTINCT file) AS f, string_agg(DISTINCT file, ',' ORDER BY file) AS files FROM m)
  SELECT '{PART}' AS entity_id, a AS direct_dependents, b AS transitive_dependents, files AS affected_files, round((least(1.0, (a + b * 0.5) / 20) + least(1.0, f / 5) + 0.3) / 3, 2) AS risk_score FROM s""")
 def impact(spark, d):
-    return graph.impact(relationships(spark, d), entities(spark, d), PART)
+    return graph.impact(relationships(spark, d, kinds=("calls",)), entities(spark, d), PART)
 
 
 # --- history: orders are commits, their customers the authors, line items the changes ----------------

@@ -42,11 +42,30 @@ def key(prefix: str, column: str) -> Column:
     return F.concat(F.lit(f"{prefix}::"), F.col(column).cast("string"))
 
 
-def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, kind, name, qualified_name, file, line, docstring, signature, source_code, ord."""
-
-    def part(rank: int, name: str, kind: str, key_col: str, label: Column, bucket: str, doc: Column, source: Column) -> DataFrame:
-        return table(spark, sf_dir, name).select(
+def _numbered(entity_id: str) -> tuple[str, int | None]:
+    """Table and key that an id names; the key is null where it is no number."""
+    name, _, number = entity_id.partition("::")
+    return name, int(number) if number.isdecimal() and str(int(number)) == number else None
+
+
+def entities(spark: SparkSession, sf_dir: str, tables: set[str] | None = None, entity_id: str | None = None) -> DataFrame:
+    """id, kind, name, qualified_name, file, line, docstring, signature, source_code, ord.
+
+    ``tables`` keeps the branches of these tables only; ``entity_id`` the branch and, by a
+    filter on its key column that reaches the scan, the row of that id.
+    """
+    number = None
+    if entity_id is not None:
+        name, number = _numbered(entity_id)
+        tables = {name} if number is not None else set()
+
+    def part(rank: int, name: str, kind: str, key_col: str, label: Column, bucket: str, doc: Column, source: Column) -> DataFrame | None:
+        if tables is not None and name not in tables:
+            return None
+        rows = table(spark, sf_dir, name)
+        if number is not None:
+            rows = rows.filter(F.col(key_col) == number)
+        return rows.select(
             key(name, key_col).alias("id"),
             F.lit(kind).alias("kind"),
             label.alias("name"),
@@ -68,30 +87,63 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(4, "orders", "method", "o_orderkey", F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")), "o_orderpriority", F.col("o_orderpriority"), none),
         part(5, "part", "variable", "p_partkey", F.col("p_name"), "p_brand", F.col("p_type"), none),
     ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source_id, target_id, kind, ord; edges are kept as often as they occur."""
-
-    def part(rank: int, name: str, kind: str, source: Column, target: Column, order: Column, rows: DataFrame | None = None) -> DataFrame:
-        rows = table(spark, sf_dir, name) if rows is None else rows
-        return rows.select(source.alias("source_id"), target.alias("target_id"), F.lit(kind).alias("kind"), (F.lit(rank * RANK) + order).cast("long").alias("ord"))
-
-    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    parts = [
-        part(0, "nation", "contains", key("region", "n_regionkey"), key("nation", "n_nationkey"), F.col("n_nationkey")),
-        part(1, "customer", "contains", key("nation", "c_nationkey"), key("customer", "c_custkey"), F.col("c_custkey")),
-        part(2, "supplier", "contains", key("nation", "s_nationkey"), key("supplier", "s_suppkey"), F.col("s_suppkey")),
-        part(3, "orders", "calls", key("customer", "o_custkey"), key("orders", "o_orderkey"), F.col("o_orderkey")),
-        part(4, "lineitem", "calls", key("orders", "l_orderkey"), key("part", "l_partkey"), line),
-        part(5, "lineitem", "calls", key("part", "l_partkey"), key("supplier", "l_suppkey"), line),
-        part(6, "customer", "imports", key("customer", "c_custkey"), F.concat(F.lit(EXTERNAL), F.col("c_mktsegment")), F.col("c_custkey")),
-        part(7, "supplier", "inherits", key("supplier", "s_suppkey"), F.concat(F.lit(REFERENCE), F.col("n_name")), F.col("s_suppkey"), named),
-        part(8, "part", "inherits", key("part", "p_partkey"), F.concat(F.lit(REFERENCE), F.col("p_brand")), F.col("p_partkey")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    kept = [p for p in parts if p is not None]
+    return reduce(DataFrame.unionByName, kept) if kept else entities(spark, sf_dir, {"region"}).filter("false")
+
+
+#: (kind, table read, source, target, order): ends are (table, key column), or a prefix and column that name no table.
+_LINE = "l_orderkey * 8 + l_linenumber"
+_EDGES = [
+    ("contains", "nation", ("region", "n_regionkey"), ("nation", "n_nationkey"), "n_nationkey"),
+    ("contains", "customer", ("nation", "c_nationkey"), ("customer", "c_custkey"), "c_custkey"),
+    ("contains", "supplier", ("nation", "s_nationkey"), ("supplier", "s_suppkey"), "s_suppkey"),
+    ("calls", "orders", ("customer", "o_custkey"), ("orders", "o_orderkey"), "o_orderkey"),
+    ("calls", "lineitem", ("orders", "l_orderkey"), ("part", "l_partkey"), _LINE),
+    ("calls", "lineitem", ("part", "l_partkey"), ("supplier", "l_suppkey"), _LINE),
+    ("imports", "customer", ("customer", "c_custkey"), (EXTERNAL, "c_mktsegment"), "c_custkey"),
+    ("inherits", "supplier", ("supplier", "s_suppkey"), (REFERENCE, "n_name"), "s_suppkey"),
+    ("inherits", "part", ("part", "p_partkey"), (REFERENCE, "p_brand"), "p_partkey"),
+]
+
+
+def _far_tables(kinds: tuple[str, ...], near: str, anchor: str) -> set[str]:
+    at = _numbered(anchor)[0]
+    ends = [(s[0], t[0]) if near == "source_id" else (t[0], s[0]) for kind, _, s, t, _ in _EDGES if kind in kinds]
+    return {far for close, far in ends if close == at and not far.endswith("::")}
+
+
+def around(spark: SparkSession, sf_dir: str, near: str, anchor: str, kinds: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Edges of these kinds whose ``near`` end is the anchor, and the entities their other ends can be; other branches are not read."""
+    return relationships(spark, sf_dir, near, anchor, kinds), entities(spark, sf_dir, _far_tables(kinds, near, anchor))
+
+
+def relationships(spark: SparkSession, sf_dir: str, near: str | None = None, anchor: str | None = None, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """source_id, target_id, kind, ord; edges are kept as often as they occur.
+
+    ``kinds`` keeps the branches of these kinds only; ``near`` and ``anchor`` those whose
+    end on that side can be the anchor, by a filter on the key column that reaches the scan.
+    """
+    kept = []
+    for rank, (kind, name, source, target, order) in enumerate(_EDGES):
+        if kinds is not None and kind not in kinds:
+            continue
+        rows = table(spark, sf_dir, name)
+        if kind == "inherits" and name == "supplier":
+            rows = rows.join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+        if anchor is not None:
+            prefix, column = source if near == "source_id" else target
+            at, number = _numbered(anchor)
+            if prefix.endswith("::"):
+                if not anchor.startswith(prefix):
+                    continue
+                rows = rows.filter(F.col(column) == anchor.removeprefix(prefix))
+            elif prefix != at or number is None:
+                continue
+            else:
+                rows = rows.filter(F.col(column) == number)
+        end = lambda e: F.concat(F.lit(e[0]), F.col(e[1])) if e[0].endswith("::") else key(*e)
+        kept.append(rows.select(end(source).alias("source_id"), end(target).alias("target_id"), F.lit(kind).alias("kind"), (F.lit(rank * RANK) + F.expr(order)).cast("long").alias("ord")))
+    return reduce(DataFrame.unionByName, kept) if kept else relationships(spark, sf_dir, kinds=("contains",)).filter("false")
 
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,12 +189,29 @@ def modified_by_author(spark, d):
     return history.modified_by_author(_modified(spark, d), _authors(spark, d))
 
 
-_LOG = ["a1|Ann|2024-01-01|feat(core): add joins", "b2|Bob|2024-01-02|fix: wrong rank", "c3|Ann|2024-01-03|tidy up", "broken line", "d4|Cy|2024-01-04|feat: stream | batch"]
+#: Log lines of the orders: one in four without a type, one in ten cut short.
+_LINES = """concat_ws('|', 'c' || o_orderkey, 'a' || o_custkey, '2024-01-01', CASE o_orderkey % 4 WHEN 0 THEN 'tidy up' WHEN 1 THEN 'fix: rank | order ' || o_orderkey WHEN 2 THEN 'feat(p' || o_custkey % 7 || '): add ' || o_orderpriority ELSE 'docs(): ' || o_orderstatus END)"""
+_SUBJECT = "trim(CASE WHEN o_orderkey % 10 = 9 THEN NULL ELSE array_to_string(string_split(v, '|')[4:], '|') END)"
+_TYPED = r"'^(\w+)(?:\(([^)]*)\))?:\s*(.*)$'"
+_PARSED = f"""p AS (SELECT o_orderkey, string_split(v, '|') AS b, {_SUBJECT} AS s FROM (SELECT o_orderkey, {_LINES} AS v FROM orders)),
+ c AS (SELECT b[1] AS sha, b[2] AS author, CASE WHEN regexp_matches(s, {_TYPED}) THEN regexp_extract(s, {_TYPED}, 1) ELSE 'other' END AS type, CASE WHEN regexp_matches(s, {_TYPED}) THEN regexp_extract(s, {_TYPED}, 2) ELSE '' END AS scope, CASE WHEN regexp_matches(s, {_TYPED}) THEN regexp_extract(s, {_TYPED}, 3) ELSE s END AS description FROM p WHERE s IS NOT NULL)"""
 
 
-@query("SELECT * FROM (VALUES ('feat', 2::BIGINT, 'add joins; stream | batch'), ('fix', 1, 'wrong rank'), ('other', 1, 'tidy up')) t(type, n, descriptions)")
+def _log(spark, d):
+    line = F.expr(_LINES)
+    cut = F.when(F.col("o_orderkey") % 10 == 9, F.concat(F.lit("c"), "o_orderkey", F.lit("|short"))).otherwise(line)
+    return history.parse_commits(table(spark, d, "orders").select(cut.alias("value")))
+
+
+@query(f"WITH {_PARSED} SELECT * FROM c")
+def commit_lines(spark, d):
+    return _log(spark, d).select("sha", "author", "type", "scope", "description")
+
+
+@query(f"WITH {_PARSED} SELECT type, count(*) AS n, string_agg(description, '; ' ORDER BY description) AS descriptions FROM c WHERE author = 'a1' GROUP BY type")
 def changelog_groups(spark, d):
-    return history.changelog(history.parse_commits(spark.createDataFrame([(x,) for x in _LOG], "value string")))
+    """The changelog of one author's commits."""
+    return history.changelog(_log(spark, d).filter("author = 'a1'"))
 
 
 @query("""WITH t AS (SELECT source, lang, sum(quality) AS c, count(*) AS v FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)

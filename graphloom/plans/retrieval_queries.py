@@ -152,14 +152,19 @@ def retrieval_eval(spark, d):
 
 # --- context ----------------------------------------------------------------------------------------
 
-_FITS = [(1, "a", 40), (2, "big", 90), (3, "b", 30), (4, "c", 28), (5, "d", 1)]
+_BUDGET = 700
 
 
-@query("SELECT * FROM (VALUES (100, 99::BIGINT, 'a,b,c,d', true), (200, 189, 'a,big,b,c,d', false), (10, 1, 'd', true)) t(budget, used, kept, skipped)")
+@query(f"""WITH RECURSIVE n AS (SELECT conv_id, turn, length(coalesce(text, '')) AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS total FROM conversations),
+ f AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, total, 0::BIGINT AS used, '' AS kept, false AS skipped FROM n
+ UNION ALL SELECT n.conv_id, n.k, n.total, CASE WHEN used + tokens <= {_BUDGET} THEN used + tokens ELSE used END, CASE WHEN used + tokens <= {_BUDGET} THEN kept || ',' || turn ELSE kept END, skipped OR used + tokens > {_BUDGET} FROM f JOIN n ON n.conv_id = f.conv_id AND n.k = f.k + 1)
+ SELECT conv_id, used, substr(kept, 2) AS kept, skipped FROM f WHERE k = total""")
 def section_budget_fold(spark, d):
-    parts = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("").alias("text"), F.lit(t).cast("long").alias("tokens")) for _, n, t in _FITS])
-    rows = spark.createDataFrame([(100,), (200,), (10,)], "budget int").withColumn("f", context.fold(parts, F.col("budget")))
-    return rows.select("budget", "f.used", F.array_join("f.kept", ",").alias("kept"), "f.skipped")
+    """The turns of a conversation as sections, a letter a token, kept while they fit."""
+    part = F.struct("turn", F.struct(F.col("turn").cast("string").alias("name"), F.lit("").alias("text"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens")).alias("p"))
+    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("turns"))
+    rows = rows.withColumn("f", context.fold(F.transform("turns", lambda x: x["p"]), F.lit(_BUDGET)))
+    return rows.select("conv_id", "f.used", F.array_join("f.kept", ",").alias("kept"), "f.skipped")
 
 
 def _sufficiency_sql() -> str:

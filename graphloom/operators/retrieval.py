@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -158,22 +159,28 @@ def rerank(hits: DataFrame, queries: DataFrame, chunks: DataFrame, limit: int |
     return _top(scored, limit or 1 << 30, F.desc(F.round("score", 12)), F.col("before")).select("qid", "id", "score", "rank")
 
 
-def expand(hits: DataFrame, chunks: DataFrame, calls: DataFrame) -> DataFrame:
+def expand(hits: DataFrame, chunks: DataFrame, calls: DataFrame, depth: int = 1) -> DataFrame:
     """Hits followed by the chunks of what their entities call: qid, id, entity_id, score, source, rank.
 
-    The first occurrence of a chunk decides, so a later hit that an earlier one already
-    brought in as a dependency stays a dependency with score 0.
+    Calls are followed ``depth`` hops from each hit, breadth first and each entity once, in
+    the order of calls. The first occurrence of a chunk decides, so a later hit that an
+    earlier one already brought in as a dependency stays a dependency with score 0.
     """
     places = chunks.select("id", "entity_id", F.col("ord").alias("o"))
     edges = calls.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("entity_id"), F.col("ord").alias("edge"))
     at = hits.join(places, "id")
-    none = F.lit(None).cast(edges.schema["edge"].dataType).alias("edge")
-    own = at.select("qid", "id", "entity_id", "score", F.lit("retrieved").alias("source"), F.col("rank").alias("hit"), F.lit(0).alias("pos"), none, "o")
-    ends = at.select("qid", F.col("rank").alias("hit"), F.col("entity_id").alias("from_id")).join(edges, "from_id")
-    more = ends.join(places, "entity_id").select("qid", "id", "entity_id", F.lit(0.0).alias("score"), F.lit("dependency").alias("source"), "hit", F.lit(1).alias("pos"), "edge", "o")
-    first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("hit", "pos", "edge", "o"))
-    once = own.unionByName(more).withColumn("n", first).filter("n = 1")
-    order = F.row_number().over(Window.partitionBy("qid").orderBy("hit", "pos", "edge", "o", "id"))
+    start = F.array().cast(T.ArrayType(edges.schema["edge"].dataType))
+    out = at.select("qid", "id", "entity_id", "score", F.lit("retrieved").alias("source"), F.col("rank").alias("hit"), F.lit(0).alias("pos"), start.alias("path"), "o")
+    level = at.select("qid", F.col("rank").alias("hit"), "entity_id", start.alias("path"))
+    seen = level.select("qid", "hit", "entity_id")
+    for hop in range(1, depth + 1):
+        ends = level.withColumnRenamed("entity_id", "from_id").join(edges, "from_id").join(seen, ["qid", "hit", "entity_id"], "left_anti")
+        level = ends.groupBy("qid", "hit", "entity_id").agg(F.min(F.concat("path", F.array("edge"))).alias("path"))
+        seen = seen.unionByName(level.select("qid", "hit", "entity_id"))
+        out = out.unionByName(level.join(places, "entity_id").select("qid", "id", "entity_id", F.lit(0.0).alias("score"), F.lit("dependency").alias("source"), "hit", F.lit(hop).alias("pos"), "path", "o"))
+    first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("hit", "pos", "path", "o"))
+    once = out.withColumn("n", first).filter("n = 1")
+    order = F.row_number().over(Window.partitionBy("qid").orderBy("hit", "pos", "path", "o", "id"))
     return once.withColumn("rank", order).select("qid", "id", "entity_id", "score", "source", "rank")
 
 

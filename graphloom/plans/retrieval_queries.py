@@ -131,15 +131,24 @@ def _calls(spark, d):
     return docs.select(F.concat(F.lit("doc::"), F.col("doc_id").cast("string")).alias("source_id"), F.concat(F.lit("doc::"), (F.col("doc_id") + 1).cast("string")).alias("target_id"), F.col("doc_id").alias("ord"))
 
 
-@query(f"""{_CHUNKS}{_SPARSE}{_KNN}{_FUSE}{_RERANK}, hit AS (SELECT r.*, c.entity_id, c.ord FROM reranked r JOIN chunk c USING (id)),
+def _expand_sql(depth: int) -> str:
+    return f"""{_CHUNKS}{_SPARSE}{_KNN}{_FUSE}{_RERANK}, hit AS (SELECT r.*, c.entity_id, c.ord FROM reranked r JOIN chunk c USING (id)),
  x AS (SELECT qid, id, entity_id, score, 'retrieved' AS source, rank AS hit, 0 AS pos, 0::BIGINT AS o FROM hit UNION ALL
- SELECT a.qid, c.id, c.entity_id, 0.0, 'dependency', a.rank, 1, dord * 100000 + c.ord % 100000 FROM hit a JOIN doc d ON d.entity_id = a.entity_id JOIN chunk c ON c.entity_id = 'doc::'||(d.dord + 1)),
+ SELECT a.qid, c.id, c.entity_id, 0.0, 'dependency', a.rank, hop, dord * 100000 + c.ord - 100000 * (dord + hop) FROM hit a JOIN doc d ON d.entity_id = a.entity_id CROSS JOIN range(1, {depth + 1}) g(hop) JOIN chunk c ON c.entity_id = 'doc::'||(d.dord + hop)),
  f AS (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY hit, pos, o) AS n FROM x)
- SELECT qid, id, entity_id, round(score, 9) AS score, source, row_number() OVER (PARTITION BY qid ORDER BY hit, pos, o, id) AS rank FROM f WHERE n = 1""")
+ SELECT qid, id, entity_id, round(score, 9) AS score, source, row_number() OVER (PARTITION BY qid ORDER BY hit, pos, o, id) AS rank FROM f WHERE n = 1"""
+
+
+@query(_expand_sql(1))
 def expand_deps(spark, d):
     return retrieval.expand(reranked(spark, d), chunks(spark, d), _calls(spark, d)).withColumn("score", F.round("score", 9))
 
 
+@query(_expand_sql(2))
+def expand_deps_d2(spark, d):
+    return retrieval.expand(reranked(spark, d), chunks(spark, d), _calls(spark, d), 2).withColumn("score", F.round("score", 9))
+
+
 @query(f"""{_CHUNKS}{_SPARSE}{_KNN}{_FUSE}, truth AS (SELECT b.item_id AS qid, c.id FROM benchmark b JOIN chunk c ON contains(c.content, b.text)),
  best AS (SELECT qid, min(rank) AS best FROM hybrid JOIN truth USING (qid, id) GROUP BY 1)
  SELECT count(*) AS n_queries, round(avg(CASE WHEN best <= 1 THEN 1.0 ELSE 0 END), 4) AS p_at_1, round(avg(CASE WHEN best <= 5 THEN 1.0 ELSE 0 END), 4) AS p_at_5, round(avg(CASE WHEN best <= 10 THEN 1.0 ELSE 0 END), 4) AS r_at_10, round(avg(coalesce(1.0 / best, 0)), 4) AS mrr FROM benchmark LEFT JOIN best ON qid = item_id""")

@@ -201,3 +201,34 @@ def test_settings(tmp_path):
     assert config.load(str(tmp_path / "m.yaml")).models[0].rpm == 3
     (tmp_path / "bad.yaml").write_text("a: [")
     assert config.load(str(tmp_path / "bad.yaml")).models == []
+
+
+def test_changed_files_are_indexed_again(spark, tmp_path):
+    from graphloom.streaming.watch import FileIndexer
+
+    root = tmp_path / "src"
+    root.mkdir()
+    (root / "a.py").write_text("def one():\n    return 1\n")
+    (root / "bad.py").write_text("def (")
+    (root / "z.py").write_text("def last():\n    return 2\n")
+    index = FileIndexer(spark, str(root), str(tmp_path / "index"))
+    assert index.chunks() is None and index.sync() == 3 and index.sync() == 0
+    shown = lambda: {r["content"] for r in index.chunks().filter("type = 'code'").collect()}
+    assert any("def one" in c for c in shown()) and any("def last" in c for c in shown())
+    errors = {r["path"].rsplit("/", 1)[1]: r["error"] for r in index.listing().collect()}
+    assert errors["a.py"] is None and errors["z.py"] is None and "syntax error" in errors["bad.py"]
+    (root / "a.py").write_text("def two_of_them():\n    return 1\n")
+    (root / "z.py").write_text("def (")
+    (root / "new.md").write_text("# Title\n\ntext\n")
+    assert index.sync() == 3
+    assert any("two_of_them" in c for c in shown()) and not any("def one" in c or "def last" in c for c in shown())
+    (root / "z.py").write_text("def again():\n    return 2\n")
+    stream = index.watch(str(tmp_path / "ticks"), "1 second")
+    try:
+        for _ in range(60):
+            if any("def again" in c for c in shown()):
+                break
+            stream.awaitTermination(1)
+    finally:
+        stream.stop()
+    assert any("def again" in c for c in shown()) and stream.exception() is None

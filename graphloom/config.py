@@ -15,6 +15,8 @@ class Model:
     provider: str = ""
     rpm: int = 10
     rpd: int = 1000
+    key_env: str = ""
+    tokens: int = 0  # of the free tier; 0 where none is told
 
 
 @dataclass(frozen=True)
@@ -40,6 +42,8 @@ class Embedding:
 @dataclass(frozen=True)
 class Settings:
     models: list[Model] = field(default_factory=list)
+    embedding_models: list[Model] = field(default_factory=list)
+    reranking_models: list[Model] = field(default_factory=list)
     threshold: float = 0.8
     chunking: Chunking = field(default_factory=Chunking)
     embedding: Embedding = field(default_factory=Embedding)
@@ -61,6 +65,16 @@ def parse(text: str) -> Settings:
     import yaml
 
     data = yaml.safe_load(text) or {}
-    found = data.get("natural_language_models") or data.get("models") or []
-    models = [Model(m["name"], m.get("provider", ""), int(m.get("rpm_free_tier_limit", m.get("rpm", 10))), int(m.get("rpd_free_tier_limit", m.get("rpd", 1000)))) for m in found]
-    return Settings(models=models, threshold=float((data.get("config") or data).get("sufficiency_threshold", 0.8)))
+
+    def models(*keys: str) -> list[Model]:
+        found = next((data[k] for k in keys if data.get(k)), [])
+        return [Model(m["name"], m.get("provider", ""), int(m.get("rpm_free_tier_limit", m.get("rpm", 10))), int(m.get("rpd_free_tier_limit", m.get("rpd", 1000))), m.get("api_key_env", ""), int(m.get("tokens_free_tier_limit", 0))) for m in found]
+
+    return Settings(
+        models=models("natural_language_models", "models"),
+        embedding_models=models("embedding_models"),
+        reranking_models=models("reranking_models"),
+        threshold=float((data.get("config") or data).get("sufficiency_threshold", 0.8)),
+        chunking=Chunking(**(data.get("chunking") or {})),
+        embedding=Embedding(**(data.get("embedding") or {})),
+    )

@@ -68,8 +68,11 @@ def extract(files: DataFrame, by_extension: dict[str, Extractor]) -> DataFrame:
         if f is None:
             out.error(f"unsupported file type: {path}")
             return out
+        if content is None:
+            out.error(f"{path}: cannot be read")
+            return out
         try:
-            return f(path, bytes(content or b"").decode("utf-8"))
+            return f(path, bytes(content).decode("utf-8"))
         except Exception as e:  # noqa: BLE001  errors are data
             out.error(f"{path}: {type(e).__name__}: {e}")
             return out

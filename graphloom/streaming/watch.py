@@ -25,7 +25,7 @@ class FileIndexer:
     Files that are gone keep their chunks.
     """
 
-    def __init__(self, spark: SparkSession, root: str, folder: str, gitignore: str = "", more: tuple[str, ...] = (), settings: Settings | None = None):
+    def __init__(self, spark: SparkSession, root: str, folder: str, gitignore: str | None = None, more: tuple[str, ...] = (), settings: Settings | None = None):
         self.spark, self.root, self.folder = spark, root, folder.rstrip("/")
         self.rules, self.settings = (gitignore, more), settings or Settings()
 
@@ -53,15 +53,14 @@ class FileIndexer:
 
     def sync(self) -> int:
         """Index what is new or changed; the number of such files."""
-        found, known = files.scan(self.spark, self.root, *self.rules), self.listing()
+        found, known = files.listing(self.spark, self.root, *self.rules), self.listing()
         stamp = ["path", "modified", "size_bytes"]
         fresh = found.select(stamp) if known is None else found.select(stamp).join(known.select(stamp), stamp, "left_anti")
         fresh = materialised(fresh.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int")), "fresh")
-        about = fresh.agg(F.count("*").alias("n"), F.min("modified").alias("since"), F.collect_set("part").alias("parts")).first()
+        about = fresh.agg(F.count("*").alias("n"), F.collect_set("part").alias("parts")).first()
         if not about["n"]:
             return 0
-        # the time of change reaches the scan, so that the contents of older files are not read
-        changed = found.filter(F.col("modified") >= F.lit(about["since"])).join(fresh.select("path"), "path", "left_semi")
+        changed = files.with_content(fresh.drop("part"))
         rows = materialised(files.extracted(changed), "extract")
         e, _, errors = base.split(rows)
         made = chunking.chunk_code(graph.upsert(e), changed, self.settings.chunking).drop("ord")

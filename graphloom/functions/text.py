@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -156,3 +160,27 @@ def window_count(length: Column, size: int, overlap: int) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("the overlap must be smaller than the window")
     return F.when(length <= size, 1).otherwise(F.ceil((length - size) / (size - overlap)) + 1).cast("int")
+
+
+class Counter(NamedTuple):
+    """How tokens are counted, and a text cut to a number of them (a column)."""
+
+    count: Callable[[Column], Column]
+    truncate: Callable[[Column, Column], Column]
+
+
+RULE = Counter(token_count, truncate_tokens)
+
+
+def counted_with(encode: Callable[[str], list[int]], decode: Callable[[list[int]], str]) -> Counter:
+    """Counting by an encoder, in Arrow batches; a null text counts as empty. Both functions are sent to the executors."""
+
+    @F.pandas_udf("int")
+    def count(text: pd.Series) -> pd.Series:
+        return text.map(lambda x: len(encode(x)) if x else 0).astype("int32")
+
+    @F.pandas_udf("string")
+    def truncate(text: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([decode(encode(x)[: max(int(n), 0)]) if x else "" for x, n in zip(text, most, strict=True)], dtype=object)
+
+    return Counter(count, truncate)

@@ -110,8 +110,8 @@ def sections(e: DataFrame, r: DataFrame) -> DataFrame:
     return out.withColumn("children", F.when(F.col("kind").isin("class", "module", "document"), F.col("children")))
 
 
-def _parts(names: list[str]) -> Column:
-    made = F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("text"), X.token_count(F.col(s)).cast("long").alias("tokens")) for s in names])
+def _parts(names: list[str], counter: X.Counter) -> Column:
+    made = F.array(*[F.struct(F.lit(s).alias("name"), F.col(s).alias("text"), counter.count(F.col(s)).cast("long").alias("tokens")) for s in names])
     return F.filter(made, lambda s: s["text"].isNotNull())
 
 
@@ -119,37 +119,37 @@ def _kept(parts: str, names: Column) -> Column:
     return F.transform(F.filter(parts, lambda s: F.array_contains(names, s["name"])), lambda s: s["text"])
 
 
-def _source(most: Column) -> Column:
-    body = F.when(X.token_count(F.col("source")) > most, F.concat(X.truncate_tokens(F.col("source"), most), F.lit(CUT))).otherwise(F.col("source"))
+def _source(most: Column, counter: X.Counter) -> Column:
+    body = F.when(counter.count(F.col("source")) > most, F.concat(counter.truncate(F.col("source"), most), F.lit(CUT))).otherwise(F.col("source"))
     return F.when(_text("source") != "", F.concat(F.lit(CODE_START), body, F.lit(CODE_END)))
 
 
-def synthesize(parts: DataFrame, task: str, budget: int = BUDGET) -> DataFrame:
+def synthesize(parts: DataFrame, task: str, budget: int = BUDGET, counter: X.Counter = X.RULE) -> DataFrame:
     """Context of each entity for a task: id, text, tokens, included, truncated, sufficiency.
 
     The header is always there; then sections by priority while they fit, source code cut
     to half the budget before it is tried.
     """
-    made = parts.withColumn("source_code", _source(F.lit(int(budget * SOURCE_SHARE)))).withColumn("s", _parts(PRIORITIES[task]))
-    folded = made.withColumn("f", fold(F.col("s"), budget, X.token_count(F.col("header"))))
+    made = parts.withColumn("source_code", _source(F.lit(int(budget * SOURCE_SHARE)), counter)).withColumn("s", _parts(PRIORITIES[task], counter))
+    folded = made.withColumn("f", fold(F.col("s"), budget, counter.count(F.col("header"))))
     text = F.array_join(F.concat(F.array("header"), _kept("s", F.col("f.kept"))), BETWEEN)
     out = folded.withColumn("text", text)
     score = sufficiency(F.lit(task), F.col("f.kept"), F.array_contains("f.kept", "source_code"), F.col("doc"), F.length("text"))
     return out.select("id", "text", F.col("f.used").alias("tokens"), F.array_join("f.kept", ",").alias("included"), F.col("f.skipped").alias("truncated"), score.alias("sufficiency"))
 
 
-def synthesize_fixed(parts: DataFrame, budget: int = BUDGET) -> DataFrame:
+def synthesize_fixed(parts: DataFrame, budget: int = BUDGET, counter: X.Counter = X.RULE) -> DataFrame:
     """Context in fixed order without a task: id, text, tokens, included, truncated.
 
     Description and signature where they fit; source code cut to what is left, if that is
     more than ``LEAST_SOURCE``; then parent, callers, callees and children where they fit.
     Only relations, or source code left out altogether, count as truncation.
     """
-    top = parts.withColumn("s", _parts(["docstring", "signature"])).withColumn("f", fold(F.col("s"), budget, X.token_count(F.col("header"))))
-    left = F.lit(budget) - F.col("f.used") - X.token_count(F.lit(CODE_START + CODE_END))
-    code = top.withColumn("source_code", F.when(left > LEAST_SOURCE, _source(left)))
-    used = F.col("f.used") + F.coalesce(X.token_count(F.col("source_code")), F.lit(0))
-    rest = code.withColumn("u", F.when(F.col("source_code").isNotNull(), used).otherwise(F.col("f.used"))).withColumn("t", _parts(["parent", "callers", "callees", "children"])).withColumn("g", fold(F.col("t"), budget, F.col("u")))
+    top = parts.withColumn("s", _parts(["docstring", "signature"], counter)).withColumn("f", fold(F.col("s"), budget, counter.count(F.col("header"))))
+    left = F.lit(budget) - F.col("f.used") - counter.count(F.lit(CODE_START + CODE_END))
+    code = top.withColumn("source_code", F.when(left > LEAST_SOURCE, _source(left, counter)))
+    used = F.col("f.used") + F.coalesce(counter.count(F.col("source_code")), F.lit(0))
+    rest = code.withColumn("u", F.when(F.col("source_code").isNotNull(), used).otherwise(F.col("f.used"))).withColumn("t", _parts(["parent", "callers", "callees", "children"], counter)).withColumn("g", fold(F.col("t"), budget, F.col("u")))
     relations = F.filter("t", lambda x: (x["name"] != "parent") & ~F.array_contains(F.col("g.kept"), x["name"]))
     own = F.when(F.col("source_code").isNotNull(), F.array("source_code")).otherwise(F.array().cast("array<string>"))
     text = F.array_join(F.concat(F.array("header"), _kept("s", F.col("f.kept")), own, _kept("t", F.col("g.kept"))), BETWEEN)

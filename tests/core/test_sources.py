@@ -1,3 +1,5 @@
+import datetime
+import json
 import subprocess
 import textwrap
 
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom import config
 from graphloom.extract import base, braces, config_yaml, markdown, python
 from graphloom.facade import Workspace
+from graphloom.functions import text as X
 from graphloom.operators import chunking
 from graphloom.sources import files, logs, store
 from graphloom.streaming import events as S
@@ -130,6 +133,89 @@ def test_workspace(spark, tmp_path):
     header = [r.content for r in v.chunks.filter("type = 'module_header'").collect()]
     assert any('"""Module doc."""' in h for h in header)
     assert v.context(helper, "explain").first().included
+    assert answer.selected[0].tokens > 0 and [x["rank"] for x in answer.evidence] == list(range(1, len(answer.evidence) + 1))
+    assert answer.evidence[0].source == "retrieved" and fallback.evidence[0].source == "lexical" and fallback.evidence[0].entity_id == helper
+    assert all(x.source == "retrieved" for x in v.query("Where is helper defined", depth=0).first().evidence)
+    assert v.errors.count() == 1
+
+
+def test_plug_ins(spark, tmp_path):
+    w = Workspace.analyze(spark, tree(tmp_path / "src"))
+    words = X.counted_with(lambda t: t.split(" "), " ".join)
+    w.counter = words
+    found = spark.createDataFrame([("a b c", 2), ("", 1), (None, 1)], "t string, n int").select(words.count(F.col("t")).alias("c"), words.truncate(F.col("t"), F.col("n")).alias("s")).collect()
+    assert [(r.c, r.s) for r in found] == [(3, "a b"), (0, ""), (0, "")]
+    made = w.context(f"{w.entities.filter("name = 'helper'").first().id}", "explain").first()
+    assert made.tokens > 0 and made.text.startswith("# ")
+
+    w.scorer = lambda hits, asked, chunks, limit: hits.select("qid", "id", F.lit(7.0).alias("score"), "rank")
+    assert {r.score for r in w.hits("helper function", 3, depth=0).collect()} == {7.0}
+    w.scorer = lambda hits, asked, chunks, limit: 1 / 0
+    assert {r.score for r in w.hits("helper function", 3, depth=0).collect()} != {7.0}
+
+
+def test_tools_and_reload(spark, tmp_path):
+    root = tree(tmp_path / "src")
+    Workspace.analyze(spark, root).save(str(tmp_path / "out"))
+    w = Workspace.load(spark, str(tmp_path / "out"))
+    helper = f"{root}/pkg/other.py::helper"
+    call = lambda name, **given: json.loads(w.tool(name, given))
+    assert helper in [r["id"] for r in call("search_codebase", query="helper")]
+    assert "helper" in call("get_entity_context", entity_id=helper)["text"]
+    assert "error" in call("get_entity_context", entity_id="no such entity at all")
+    assert [r["id"] for r in call("trace_calls", entity_id=helper, direction="callers")] == [f"{root}/mod.py::main"]
+    assert call("retrieve_context_for_query", query="Where is helper defined", expand_deps=False)["mode"] == "semantic"
+    assert call("nothing") == {"error": "Unknown tool: nothing"} and "query" in call("search_codebase")["error"]
+    (tmp_path / "src" / "later.py").write_text("def later_on():\n    return 1\n")
+    Workspace.analyze(spark, root).save(str(tmp_path / "out"))
+    assert w.reload().search("later", 5).count() == 2
+
+
+def test_own_ignore_file_and_extensions_in_any_case(spark, tmp_path, monkeypatch):
+    root = tree(tmp_path)
+    (tmp_path / ".gitignore").write_text("skip/\ngen_*\n")
+    (tmp_path / "pkg" / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "pkg" / "__init__.py").write_text("x = 1\n")
+    (tmp_path / "pkg" / "deep" / "er" / "x.ts").write_text("")
+    (tmp_path / ".ci").mkdir()
+    (tmp_path / ".ci" / "run.yml").write_text("a: 1\n")
+    (tmp_path / "pkg" / "back").symlink_to(tmp_path)
+    want = [".ci/run.yml", "README.MD", "bad.py", "mod.py", "pkg/__init__.py", "pkg/deep/er/x.ts", "pkg/other.py"]
+    monkeypatch.setattr(files, "FOLDERS", 2)  # the rest is walked in tasks
+    assert sorted(r.relative_path for r in files.listing(spark, root).collect()) == want
+    assert sorted(r.relative_path for r in files.listing(spark, f"file://{root}").collect()) == want
+    got = {r.relative_path: bytes(r.content) for r in files.scan(spark, root).collect()}
+    assert sorted(got) == want and got[".ci/run.yml"] == b"a: 1\n" and got["pkg/deep/er/x.ts"] == b""
+    gone = files.listing(spark, root).filter("relative_path = 'mod.py'").withColumn("path", F.lit(f"{root}/gone.py"))
+    assert files.with_content(gone).first().content is None
+    assert [r.error for r in files.extracted(files.with_content(gone)).collect()] == [f"{root}/gone.py: cannot be read"]
+    monkeypatch.setattr(files, "FOLDERS", 256)
+    for x in ("pkg/__init__.py", "pkg/deep/er/x.ts", ".ci/run.yml"):
+        (tmp_path / x).unlink()
+    assert sorted(r.relative_path for r in files.scan(spark, root).collect()) == ["README.MD", "bad.py", "mod.py", "pkg/other.py"]
+
+
+def test_sources_that_are_missing_or_broken_make_error_rows(spark, tmp_path):
+    root = tree(tmp_path / "src")
+    (tmp_path / "bad.xml").write_text("<coverage><class")
+    (tmp_path / "good.xml").write_text('<coverage line-rate="1"><class filename="a&amp;b.py" line-rate="1"/></coverage>')
+    w = Workspace.analyze(spark, root, history=str(tmp_path / "none.txt"), coverage=str(tmp_path / "bad.xml"))
+    errors = {r.path.rsplit("/", 1)[1]: r.error for r in w.errors.collect()}
+    assert errors["none.txt"] == "no exported git log there" and "bad.xml" in errors and w.entities.filter("kind = 'coverage_report'").isEmpty()
+    e, r = logs.cobertura(spark, str(tmp_path / "*.xml"), "/r")
+    assert e.first().metadata["timestamp"].isdigit() and r.filter("kind = 'covers'").first().target_id == "/r/a&b.py::a&b"
+    assert logs.cobertura_errors(spark, str(tmp_path / "none.xml")).count() == 1
+
+
+def test_usage_log(spark, tmp_path):
+    path = str(tmp_path / "usage")
+    assert logs.recorded(spark, path).count() == 0
+    now = datetime.datetime(2024, 3, 5, 12, tzinfo=datetime.UTC)
+    for hours in (80, 30, 13, 1):
+        logs.record_usage(spark.createDataFrame([("m", now - datetime.timedelta(hours=hours))], "model string, ts timestamp"), path)
+    assert logs.recorded(spark, path).count() == 4
+    assert logs.forget_usage(spark, path, now) == 1  # that of 30 hours ago shares its day with what still counts
+    assert logs.recorded(spark, path).count() == 3 and logs.forget_usage(spark, path, now) == 0
 
 
 def test_module_header(spark):
@@ -169,6 +255,10 @@ def test_json_store_usage_and_truth(spark, tmp_path):
     assert e.first().line == 1 and r.first().kind == "calls"
     store.export_json(e, r, str(tmp_path / "x"))
     assert spark.read.text(str(tmp_path / "x")).count() == 2
+    store.export_json(e, r, str(tmp_path / "y"), logs.error_rows(spark, ("f", "broken")))
+    e2, r2, errors = store.load_lines(spark, str(tmp_path / "y"))
+    assert e2.select("id", "kind", "line").collect() == e.select("id", "kind", "line").collect() and r2.first().target_id == "b"
+    assert errors.first().error == "broken" and r2.first().ord.seq == 0
     (tmp_path / "u.json").write_text('{"m": [1700000000.5, 1700000001.0]}')
     assert logs.usage(spark, str(tmp_path / "u.json")).count() == 2
     (tmp_path / "bad.json").write_text("{nope")
@@ -199,6 +289,8 @@ def test_settings(tmp_path):
     assert config.load(None).threshold == 0.8
     (tmp_path / "m.yaml").write_text(textwrap.dedent("models:\n  - name: x\n    rpm: 3\n"))
     assert config.load(str(tmp_path / "m.yaml")).models[0].rpm == 3
+    more = config.parse("embedding_models: [{name: e, tokens_free_tier_limit: 5}]\nreranking_models: [{name: r, provider: p}]\nchunking: {max_chars: 50, overlap: 5}")
+    assert more.embedding_models[0].tokens == 5 and more.reranking_models[0].provider == "p" and more.chunking.max_chars == 50 and more.models == []
     (tmp_path / "bad.yaml").write_text("a: [")
     assert config.load(str(tmp_path / "bad.yaml")).models == []
 

@@ -15,6 +15,7 @@ from .base import Collector, lines_between, stem
 NO_CALL = frozenset("if for while switch catch return function typeof super constructor synchronized try do else new throw instanceof assert import await yield void delete in of case".split())
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_JS_BLANK = re.compile(r"(?<=[=(,:;!&|?{\[])\s*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/|" + _BLANK.pattern, re.S)
 _CALL = re.compile(r"(?:(?<![\w$.])|(?<=[)\]]\.))((?:new\s+)?)([A-Za-z_$][\w$]*(?:\s*\.\s*[A-Za-z_$][\w$]*)*)\s*(?:<[\w\s,.<>?]*>)?\s*\(")
 _JS_IMPORT = re.compile(r"^[ \t]*import\s+(?:[\w*{}\s,$]+\s+from\s+)?([\"'])([^\"'\n]+)\1", re.M)
 _JS_CLASS = re.compile(r"\bclass\s+([A-Za-z_$][\w$]*)(?:\s+extends\s+([A-Za-z_$][\w$.]*))?[^{;]*\{")
@@ -26,8 +27,8 @@ _JAVA_TYPE = re.compile(r"\b(?:class|interface)\s+([A-Za-z_$][\w$]*)(?:\s*<[^{]*
 _JAVA_METHOD = re.compile(r"(?:^|(?<=[;{}\n]))\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]+>\s*)?(?:([\w$.<>\[\],? ]+?)\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?(\{|;)")
 
 
-def blanked(text: str) -> str:
-    return _BLANK.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
+def blanked(text: str, pattern: re.Pattern = _BLANK) -> str:
+    return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
 def body_end(code: str, start: int) -> int:
@@ -50,10 +51,12 @@ def _depths(code: str) -> list[int]:
 
 
 class _File:
-    def __init__(self, path: str, text: str):
+    def __init__(self, path: str, text: str, pattern: re.Pattern = _BLANK):
         self.out, self.text, self.lines = Collector(path), text, text.splitlines()
-        self.code = blanked(text)
+        self.code = blanked(text, pattern)
         self.depth = _depths(self.code)
+        if self.code.count("{") != self.code.count("}") or min(self.depth, default=0) < 0:
+            self.out.error(f"{path}: braces do not match")  # what can be read is given all the same
         self.module = self.out.entity("module", stem(path), stem(path), 1, len(self.lines))
 
     def line(self, at: int) -> int:
@@ -78,7 +81,7 @@ def _first_letter(m: re.Match) -> int:
 
 def javascript(path: str, text: str) -> Collector:
     """Imports, classes with methods, functions and arrow functions at the top level, and what they call."""
-    f = _File(path, text)
+    f = _File(path, text, _JS_BLANK)
     for m in _JS_IMPORT.finditer(text):
         if f.code[m.start() : m.end()].lstrip().startswith("import"):
             f.out.external(f.module, m[2])

@@ -78,6 +78,10 @@ def test_javascript_and_java():
     assert names(c, "class") == ["Dog"] and names(c, "method") == ["constructor", "bark"] and names(c, "function") == ["make", "f"]
     assert targets(c, "imports") == ["external::lib"] and targets(c, "inherits") == ["ref::Animal"]
     assert targets(c, "calls") == ["ref::this.set", "ref::console.log", "ref::Dog", "ref::go", "ref::make"]
+    assert not [r for r in c.rows if r["row"] == "error"]
+    c = braces.javascript("b.js", "const r = (x) => x.replace(/[{(\"']/g, go(a / b / 2));\nfunction f() { h(/}/) }\nclass A { m() { n(); }")
+    assert names(c, "function") == ["f", "r"] and "ref::go" in targets(c, "calls") and names(c, "class") == ["A"]
+    assert [r["error"] for r in c.rows if r["row"] == "error"] == ["b.js: braces do not match"]
     ja = """package p; import java.util.List;
     public class Cat extends Pet implements Runs {
       private int n = 1;

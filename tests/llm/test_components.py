@@ -59,7 +59,7 @@ def test_groups_are_whole_whatever_the_batches():
 def test_shared_keys_over_small_batches(spark, monkeypatch):
     from graphloom.llm import common
 
-    monkeypatch.setattr(common, "small_batches", lambda df, n: df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
+    monkeypatch.setattr(common, "small_batches", lambda df: df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3"))
     r = random.Random(8)
     rows = [(r.randrange(12), k, k * 10) for k in range(60)] + [(100, 900, 1), (101, 901, 1)] + [(102, 1000 + k, k) for k in range(20)]
     got = sorted((x.key, x.node, x.sim, x.a, x.sa) for x in common.shared_keys(spark.createDataFrame(rows, "key long, node long, sim long"), "sim", "sa").collect())

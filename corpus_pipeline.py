@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import linededup, neardup, packing, quality, toxicity
-from graphloom.llm.common import shared_dir
+from graphloom.llm.common import ROW_GROUP, shared_dir
 
 WORD = r"[\p{L}\p{N}_]"  # a character of a word, in any script
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -75,6 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -19,14 +19,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_OWN: dict[str, str] = {}  # the folder of an application that names none
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a temporary one only where none is set and all is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # remembered here, as the setting is one of Spark's core that a session cannot change
+        app = spark.sparkContext.applicationId
+        found = _OWN[app] = _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="graphloom-")
     return found.rstrip("/")
 
 
@@ -40,6 +44,9 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+ROW_GROUP = 16 << 20  # bytes that a writer holds before it writes them: every core of a heap has a writer
+
+
 def saved(df: DataFrame, name: str, width: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut in the lineage that survives lost executors.
 
@@ -48,7 +55,7 @@ def saved(df: DataFrame, name: str, width: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    (df.coalesce(width) if width else df).write.option("compression", "zstd").parquet(path)
+    (df.coalesce(width) if width else df).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     if width is None:
         release(spark)
     out = spark.read.schema(df.schema).parquet(path)
@@ -82,17 +89,20 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: T.Struc
 
 
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 20_000
+READ_ROWS = 512  # of a Parquet file that are decoded at a time, however long their texts
 
 
 def small_batches(df: DataFrame) -> None:
     """Bound Arrow batches by bytes, as texts may be long, and by rows; a text larger than the bound is a batch by itself.
 
-    Both are settings of the session, read when a plan runs, so all operators set the same
-    values.
+    The readers of Parquet files know no bound by bytes, so they get one of fewer rows.
+    These are settings of the session, read when a plan runs, so all operators set the
+    same values.
     """
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
 
 
 # --- connected components -------------------------------------------------------------------

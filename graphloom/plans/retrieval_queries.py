@@ -172,7 +172,7 @@ def section_budget_fold(spark, d):
     """The turns of a conversation as sections, a letter a token, kept while they fit."""
     part = F.struct("turn", F.struct(F.col("turn").cast("string").alias("name"), F.lit("").alias("text"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("tokens")).alias("p"))
     rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(part)).alias("turns"))
-    rows = rows.withColumn("f", context.fold(F.transform("turns", lambda x: x["p"]), F.lit(_BUDGET)))
+    rows = rows.withColumn("f", context.fold(F.transform("turns", lambda x: x["p"]), F.lit(_BUDGET), full=True))
     return rows.select("conv_id", "f.used", F.array_join("f.kept", ",").alias("kept"), "f.skipped")
 
 

@@ -35,7 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, group_runs, saved, shared_keys, small_batches, tiles
+from .common import EDGES_A_TASK, components, discard, group_runs, saved, shared_keys, small_batches, tiles
+from .edits import WORDS, Coded, within
 
 SIMILARITY = 0.9
 SHORT = 29  # characters up to which pairs are found by pieces
@@ -331,19 +332,40 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return edit_distance(a, b) <= allowed
 
 
-def pair_counts(lines: list[str]) -> np.ndarray:
+def alike_pairs(lines: list[str], coded: Coded, a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """``alike`` for pairs of places in ``lines``: at once, but for the longest lines."""
+    allowed = ((1 - similarity) * np.maximum(coded.size[a], coded.size[b]) + 1e-9).astype(np.int64)
+    out = np.zeros(len(a), bool)
+    many = allowed < 64 * WORDS
+    out[many] = within(coded, a[many], b[many], allowed[many])
+    for k in np.flatnonzero(~many):
+        out[k] = alike(lines[a[k]], lines[b[k]], similarity)
+    return out
+
+
+def _counts(coded: Coded) -> np.ndarray:
     """Of each line, how many pairs of neighbouring characters fall into each of PAIRS places.
 
     An edit takes away two pairs and adds two at most, so lines whose counts differ by more
     than four for each edit allowed are not alike.
     """
-    out = np.zeros((len(lines), PAIRS), np.int32)
-    for k, line in enumerate(lines):
-        c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out[k] = np.bincount((c[:-1] * np.uint32(31) + c[1:]) % np.uint32(PAIRS), minlength=PAIRS)
+    out = np.zeros((len(coded.size), PAIRS), np.int32)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(coded.at, coded.at[lo] + SEGMENT, "right")) - 1)
+        c, n = coded.chars[coded.at[lo] : coded.at[hi]], coded.size[lo:hi]
+        own = np.repeat(np.arange(hi - lo), n)
+        same = own[1:] == own[:-1]
+        place = (c[:-1] * np.uint32(31) + c[1:]) % np.uint32(PAIRS)
+        out[lo:hi] = np.bincount(own[1:][same] * PAIRS + place[same], minlength=(hi - lo) * PAIRS).reshape(-1, PAIRS)
+        lo = hi
     return out
 
 
+def pair_counts(lines: list[str]) -> np.ndarray:
+    return _counts(Coded(lines))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a hash of the text, which tells apart rows that repeat an id; rows without id take no part."""
     small_batches(docs)
@@ -355,7 +377,7 @@ def _lines_of(batch: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
     texts = [t or "" for t in batch.column(2).to_pylist()]
     sizes = np.array([t.count("\n") + 1 for t in texts], np.int64)
     rows = np.repeat(np.arange(len(texts)), sizes)
-    return Lines(cleaned("\n".join(texts))), rows, (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+    return Lines(b"\n".join(map(cleaned, texts))), rows, (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -403,7 +425,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [alike(x, y, similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            lines, n = batch.column(2).to_pylist() + batch.column(3).to_pylist(), batch.num_rows
+            keep = alike_pairs(lines, Coded(lines), np.arange(n), np.arange(n, 2 * n), similarity)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return saved(both.mapInArrow(run, "a long, b long"), "links")
@@ -412,18 +435,34 @@ def confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 TILE = ("key", "ta", "tb")
 _TILED = "key long, ta int, tb int, lo long, mine int, node long, root long, sim long"
 KNOWN = 1_000_000  # pairs that a task remembers as unlike, so as not to compare them again
-
-
-def _open_pairs(columns: dict[str, np.ndarray], lo: int, hi: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of one tile: row i and the rows of other components that can be like it."""
-    mine, root, sim = columns["mine"], columns["root"], columns["sim"]
-    ta, tb = columns["ta"][lo], columns["tb"][lo]
-    first, second = np.flatnonzero(mine[lo:hi] == ta) + lo, np.flatnonzero(mine[lo:hi] == tb) + lo
-    for i in first:
-        others = second[second > i] if ta == tb else second
-        others = others[(root[others] != root[i]) & near(sim[others], sim[i])]
-        if len(others):
-            yield i, others
+AT_ONCE = 1 << 18  # pairs of rows that are looked at together
+HELD = 8 << 20  # bytes of rows with lines that are compared together, about
+
+
+def _open_pairs(columns: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of tiles: pairs of rows of different components that can be alike, some at a time."""
+    n = np.diff(starts)
+    tile = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((columns["root"], tile))  # a row's partners follow the rows of its component
+    root = columns["root"][order]
+    last = np.flatnonzero(np.r_[(tile[1:] != tile[:-1]) | (root[1:] != root[:-1]), True]) + 1
+    begin = np.repeat(last, np.diff(np.r_[0, last]))
+    count = np.repeat(starts[1:], n) - begin
+    ends = np.cumsum(count)
+    lo = 0
+    while lo < len(order):
+        done = ends[lo] - count[lo]
+        hi = max(lo + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+        some = count[lo:hi]
+        if ends[hi - 1] > done:
+            i = np.repeat(np.arange(lo, hi), some)
+            j = np.arange(len(i)) - np.repeat(ends[lo:hi] - some - done, some) + begin[i]
+            i, j = order[i], order[j]
+            good = near(columns["sim"][i], columns["sim"][j])
+            i, j = i[good], j[good]
+            good = (columns["ta"][i] == columns["tb"][i]) | (columns["mine"][i] != columns["mine"][j])
+            yield i[good], j[good]
+        lo = hi
 
 
 def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -437,10 +476,9 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
         for table, starts in group_runs(batches, TILE):
             columns = {c: table[c].to_numpy() for c in table.column_names}
             hit = np.zeros(table.num_rows, bool)
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                for i, others in _open_pairs(columns, lo, hi):
-                    hit[i] = True
-                    hit[others] = True
+            for i, j in _open_pairs(columns, starts):
+                hit[i] = True
+                hit[j] = True
             if hit.any():
                 yield from table.filter(pa.array(hit)).to_batches()
 
@@ -449,6 +487,23 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
+def _large(tables: Iterator[tuple[pa.Table, np.ndarray]]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of ``group_runs``, several as one up to HELD bytes."""
+    held: list[tuple[pa.Table, np.ndarray]] = []
+
+    def whole() -> tuple[pa.Table, np.ndarray]:
+        before = np.cumsum([0, *(t.num_rows for t, _ in held)])
+        return pa.concat_tables([t for t, _ in held]).combine_chunks(), np.concatenate([*(s[:-1] + n for (_, s), n in zip(held, before, strict=False)), before[-1:]])
+
+    for table, starts in tables:
+        if held and sum(t.nbytes for t, _ in held) + table.nbytes > HELD:
+            yield whole()
+            held = []
+        held.append((table, starts))
+    if held:
+        yield whole()
+
+
 def _between(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between components, from comparing the lines of open rows within tiles.
 
@@ -466,29 +521,48 @@ def _between(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 r = joined[r]
             return r
 
-        for table, starts in group_runs(batches, ("lo", *TILE)):
+        def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+            """Whether two components are not joined yet."""
+            roots, at = np.unique(np.r_[p, q], return_inverse=True)
+            tops = np.array([top(r) for r in roots.tolist()], np.int64)[at]
+            return tops[: len(p)] != tops[len(p) :]
+
+        for table, starts in _large(group_runs(batches, ("lo", *TILE))):
             columns = {c: table[c].to_numpy() for c in table.column_names if c != "line"}
-            node, root, sim, line, a, b = columns["node"], columns["root"], columns["sim"], table["line"].to_pylist(), [], []
-            counts, sizes = pair_counts(line), np.array([len(x) for x in line])
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                for i, others in _open_pairs(columns, lo, hi):
-                    most = (1 - similarity) * np.maximum(sizes[others], sizes[i]) + 1e-9
-                    others = others[np.abs(counts[others] - counts[i]).sum(1) <= 4 * np.floor(most)]
-                    for j in others[np.argsort(np.bitwise_count((sim[others] ^ sim[i]) & ((1 << BITS) - 1)), kind="stable")]:
-                        p, q = top(int(root[i])), top(int(root[j]))
-                        if p == q:
-                            continue
-                        pair = (int(node[i]), int(node[j])) if node[i] < node[j] else (int(node[j]), int(node[i]))
-                        if pair in unlike:
-                            continue
-                        if alike(line[i], line[j], similarity):
-                            joined[p] = q
-                            a.append(pair[0])
-                            b.append(pair[1])
-                        else:
+            root, sim, a, b = columns["root"], columns["sim"], [], []
+            node, at, of = np.unique(columns["node"], return_index=True, return_inverse=True)  # a node's line once
+            line = table["line"].take(pa.array(at)).to_pylist()
+            coded = Coded(line)
+            counts = _counts(coded)
+            for i, j in _open_pairs(columns, starts):
+                x, y = np.minimum(of[i], of[j]), np.maximum(of[i], of[j])
+                first = np.unique(x * len(node) + y, return_index=True)[1]
+                first = first[apart(root[i[first]], root[j[first]])]
+                i, j, x, y = i[first], j[first], x[first], y[first]
+                most = 4 * np.floor((1 - similarity) * np.maximum(coded.size[x], coded.size[y]) + 1e-9)
+                good = np.concatenate([np.zeros(0, bool), *(np.abs(counts[x[k : k + 4096]] - counts[y[k : k + 4096]]).sum(1) <= most[k : k + 4096] for k in range(0, len(x), 4096))])
+                good[good] = [pair not in unlike for pair in zip(node[x[good]].tolist(), node[y[good]].tolist(), strict=True)]
+                i, j, x, y = i[good], j[good], x[good], y[good]
+                order = np.lexsort((np.bitwise_count((sim[i] ^ sim[j]) & ((1 << BITS) - 1)), x))
+                i, j, x, y = i[order], j[order], x[order], y[order]
+                rank = np.arange(len(x)) - np.searchsorted(x, x)  # of a line's pairs, the likeliest first
+                limit = 2
+                while len(x):
+                    now = rank < limit
+                    found = alike_pairs(line, coded, x[now], y[now], similarity)
+                    for p, q, u, v, hit in zip(root[i[now]].tolist(), root[j[now]].tolist(), node[x[now]].tolist(), node[y[now]].tolist(), found.tolist(), strict=True):
+                        if not hit:
                             if len(unlike) >= KNOWN:
                                 unlike.clear()
-                            unlike.add(pair)
+                            unlike.add((u, v))
+                        elif (p := top(p)) != (q := top(q)):
+                            joined[p] = q
+                            a.append(u)
+                            b.append(v)
+                    rest = np.flatnonzero(~now)
+                    rest = rest[apart(root[i[rest]], root[j[rest]])]
+                    i, j, x, y, rank = i[rest], j[rest], x[rest], y[rest], rank[rest]
+                    limit *= 8
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     with_lines = rows.join(texts, "node").select("lo", *TILE, "mine", "node", "root", "sim", "line")
@@ -496,6 +570,35 @@ def _between(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return saved(with_lines.repartition("lo", "ta", "tb").sortWithinPartitions("lo", *TILE, "node").mapInArrow(run, "a long, b long"), "links")
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components, few rounds from being stars: every task makes stars of its own edges.
+
+    A task has about EDGES_A_TASK edges; ``components`` joins up what several tasks have.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            end = r
+            while (above := up.setdefault(end, end)) != end:
+                end = above
+            while r != end:
+                up[r], r = end, up[r]
+            return end
+
+        for batch in batches:
+            for p, q in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p, q = top(p), top(q)
+                up[max(p, q)] = min(p, q)
+        a = [r for r in up if up[r] != r]
+        for k in range(0, len(a), 20_000):
+            part = a[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([top(r) for r in part], pa.int64())], ["a", "b"])
+
+    return edges.coalesce(1 + edges.count() // EDGES_A_TASK).mapInArrow(run, "a long, b long")
+
+
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The occurrences of all lines; the distinct lines with first place and number; (node, root) of lines in a group with others."""
     whole = saved(occurrences(docs), "occurrences")
@@ -509,11 +612,12 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     texts = saved(_texts(docs, wanted), "texts")
     links = confirm(first, texts, similarity)
     discard(first)
-    roots = components(links, "lines")
+    roots = components(_contracted(links), "lines")
     rows = _open(members, roots)
     discard(members)
     if not rows.isEmpty():
-        roots = components(links.union(_between(rows, texts, similarity)), "lines")
+        known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(_contracted(known.union(_between(rows, texts, similarity))), "lines")
     discard(rows)
     discard(texts)
     return lines, nodes, roots

@@ -33,6 +33,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * split else df
 
 
+PART_BYTES = 2 << 20  # of a table's stored columns that a task gets by ``dealt``
+MOST_PARTS = 10_000
+
+
+def parts(df: DataFrame) -> int:
+    """How many tasks ``dealt`` needs for a table: by the size of its files, and no fewer than there are cores."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES)), MOST_PARTS)
+
+
+def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """Rows dealt by keys to ``n`` tasks, which the engine does not merge: what a task sorts or groups is as much whatever the size of the table."""
+    return df.repartition(n, *keys)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back, so that lost executors lose nothing."""
     spark = df.sparkSession

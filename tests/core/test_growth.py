@@ -1,6 +1,6 @@
 """What must not grow faster than the input: exchanges, repeated rows, memory of a task."""
 
-from graphloom.operators import context
+from graphloom.operators import context, history
 
 
 def plan(df):
@@ -20,3 +20,12 @@ def test_callers_listing_deals_edges_once_for_the_join_and_once_by_target(spark)
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert found["t"][2:4] == ["- `q22` - `q22(...)`", "- `q20` - `q20(...)`"] and found["t"][-1] == "- ... and 2 more"
     assert len(found["t"]) == 13 and len(found[None]) == 13  # an unknown target is a group, as in SQL
+
+
+def test_modified_by_author_repeats_no_change_and_bounds_its_tasks(spark):
+    rows = [(1, "a", 2.0), (1, "a", 3.0), (1, "b", 1.0), (2, "a", 5.0), (2, None, 7.0), (3, "c", 1.0), (9, "z", 4.0)]
+    modified = spark.createDataFrame(rows, "commit_id long, entity_id string, insertions double")
+    authors = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (3, None), (8, "w")], "commit_id long, author_name string")
+    made = history.modified_by_author(modified, authors)
+    assert "Expand" not in plan(made) and "REPARTITION_BY_NUM" in plan(made)
+    assert {tuple(r) for r in made.collect()} == {("x", 2, 2, 18.0), ("y", 1, 1, 12.0), (None, 1, 1, 1.0)}

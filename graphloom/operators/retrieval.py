@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +22,7 @@ RRF_K, ALPHA = 60, 0.5
 BOOST_DOCSTRING, BOOST_RECENT, BOOST_EXACT, BOOST_KIND = 1.2, 1.1, 1.5, 2.0
 RECENT_DAYS = 7
 ASKED_ROWS = 200_000  # (query, token) rows or query vectors that are sent to the data in one piece; beyond, they are joined
+AT_ONCE = 1 << 20  # hits of tokens that a task counts together
 
 
 def chunk(e: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
@@ -50,6 +52,71 @@ def _collected(asked: DataFrame) -> pa.Table | None:
     return few if few.num_rows <= ASKED_ROWS else None
 
 
+def _best(best: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Of each row of both, the highest values, as many as ``best`` has, in any order."""
+    return np.partition(np.concatenate([best, score], axis=1), score.shape[1], axis=1)[:, score.shape[1] :]
+
+
+def overlaps(batches: Iterator[pa.RecordBatch], asked: pa.Table, qids: pa.Array, limit: int) -> Iterator[pa.RecordBatch]:
+    """qid, id, overlap, ord: of (id, ord, distinct tokens) what can be among the ``limit`` best of a query.
+
+    Rows are taken as many at a time as have about AT_ONCE hits, and what the best so far
+    beat is left out, so memory does not grow with the batches nor with the table.
+    """
+    n = len(qids)
+    if not n:
+        return
+    number = pc.index_in(asked["qid"], value_set=qids).to_numpy()
+    words = asked["token"].unique()
+    word = pc.index_in(asked["token"], value_set=words).to_numpy()
+    of = number[np.argsort(word, kind="stable")].astype(np.int64)  # the queries of each word
+    size = np.bincount(word, minlength=len(words))
+    first = np.cumsum(size) - size
+    best = np.zeros((n, limit), np.int32)
+    for batch in batches:
+        lists = batch.column(2)
+        flat = lists.flatten()
+        found = pc.index_in(flat, value_set=words.cast(flat.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        row, found = row[found >= 0], found[found >= 0]
+        done = np.cumsum(size[found])
+        ords = batch.column(1)
+        place = ords.to_numpy() if pa.types.is_integer(ords.type) and not ords.null_count else np.zeros(batch.num_rows, np.int8)
+        lo = 0
+        while lo < len(row):
+            before = done[lo] - size[found[lo]]
+            hi = int(np.searchsorted(row, row[max(lo, int(np.searchsorted(done, before + AT_ONCE, "right")) - 1)], "left"))
+            hi = hi if hi > lo else int(np.searchsorted(row, row[lo], "right"))  # whole rows, one at least
+            if done[-1] <= before + AT_ONCE:
+                hi = len(row)
+            k, at, base = found[lo:hi], row[lo:hi], row[lo]
+            hits = np.repeat(first[k] - np.cumsum(size[k]) + size[k], size[k]) + np.arange(size[k].sum())
+            cell = np.repeat(at - base, size[k]) * n + of[hits]
+            cells = int(at[-1] - base + 1) * n
+            if cells <= 4 * AT_ONCE:
+                count = np.bincount(cell, minlength=cells)
+                cell = np.flatnonzero(count)
+                count = count[cell]
+            else:
+                cell, count = np.unique(cell, return_counts=True)
+            lo = hi
+            q, at = cell % n, cell // n + base
+            some = count >= best.min(axis=1)[q]
+            q, at, count = q[some], at[some], count[some]
+            order = np.lexsort((place[at], -count, q))
+            q, at, count = q[order], at[order], count[order]
+            start = np.searchsorted(q, q)
+            last = np.minimum(start + limit - 1, max(len(q) - 1, 0))
+            # with all that equal the last one kept, so that those ties are settled later
+            keep = (np.arange(len(q)) < start + limit) | (q[last] == q) & (count[last] == count) & (place[at[last]] == place[at])
+            q, at, count, rank = q[keep], at[keep], count[keep], (np.arange(len(start)) - start)[keep]
+            mine, inverse = np.unique(q, return_inverse=True)
+            new = np.zeros((len(mine), limit), np.int32)
+            new[inverse[rank < limit], rank[rank < limit]] = count[rank < limit]
+            best[mine] = _best(best[mine], new)
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(q)), batch.column(0).take(pa.array(at)), pa.array(count, pa.int64()), ords.take(pa.array(at))], ["qid", "id", "overlap", "ord"])
+
+
 def overlap_search(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """qid, id, overlap, rank: chunks that share most distinct tokens with the query's text.
 
@@ -64,31 +131,10 @@ def overlap_search(chunks: DataFrame, queries: DataFrame, limit: int) -> DataFra
     else:
         kind = asked.schema["qid"].dataType.simpleString()
         qids = few["qid"].unique()
-        number = {q: k for k, q in enumerate(qids.to_pylist())}
-        where: dict[str, list[int]] = {}
-        for q, token in zip(few["qid"].to_pylist(), few["token"].to_pylist(), strict=True):
-            where.setdefault(token, []).append(number[q])
-        of_token = {t: np.array(v, np.int64) for t, v in where.items()}
+        qids = qids.combine_chunks() if isinstance(qids, pa.ChunkedArray) else qids
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hits, rows = [], []
-                for row, tokens in enumerate(batch.column(2).to_pylist()):
-                    some = [of_token[t] for t in tokens or () if t in of_token]
-                    if some:
-                        hits.append(np.concatenate(some))
-                        rows.append(np.full(len(hits[-1]), row, np.int64))
-                n = len(number)
-                both, overlap = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]) * n + np.concatenate([np.zeros(0, np.int64), *hits]), return_counts=True)
-                q = both % n if n else both
-                order = np.lexsort((-overlap, q))
-                start = np.searchsorted(q[order], q[order])
-                # all that reach the overlap of the last one kept, so that ties are settled later
-                last = overlap[order][np.minimum(start + limit - 1, len(order) - 1)]
-                same = q[order][np.minimum(start + limit - 1, max(len(order) - 1, 0))] == q[order]
-                keep = order[~same | (overlap[order] >= last)]
-                at = pa.array(both[keep] // n if n else both[keep])
-                yield pa.RecordBatch.from_arrays([qids.take(pa.array(q[keep])), batch.column(0).take(at), pa.array(overlap[keep]), batch.column(1).take(at)], ["qid", "id", "overlap", "ord"])
+            return overlaps(batches, few, qids, limit)
 
         tokens = F.array_distinct(F.col("tokens") if "tokens" in chunks.columns else X.tokenize(F.col("content")))
         rows = chunks.select("id", "ord", tokens.alias("tokens"))
@@ -100,8 +146,9 @@ def knn(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """qid, id, score, rank: exact search by inner product of every query with every vector.
 
     Queries are a stated set of at most ASKED_ROWS: they are sent to the vectors in one
-    piece, which keeps the scan of the vectors free of shuffles, and each batch gives its
-    best ``limit`` per query (a matrix product) before anything is exchanged. Null vectors
+    piece, which keeps the scan of the vectors free of shuffles, and each task gives what
+    the best ``limit`` per query so far (by matrix products of bounded size) do not beat
+    before anything is exchanged. Null vectors
     and those of another length than a query's are not found by it.
     """
     few = _collected(queries.select("qid", "embedding").filter("embedding is not null"))
@@ -117,20 +164,23 @@ def knn(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     qids = few["qid"].combine_chunks() if few.num_rows else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {length: np.full((len(q), limit), -np.inf) for length, (_, q) in asked.items()}
         for batch in batches:
             lists = batch.column(2)
             n = np.diff(lists.offsets.to_numpy())
             for length, (rows, q) in asked.items():
-                some = np.flatnonzero((n == length) & ~np.asarray(lists.is_null()))
-                if not len(some):
-                    continue
-                flat = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), length)
-                for lo in range(0, len(q), 1024):
-                    score = q[lo : lo + 1024] @ flat.T
-                    least = np.partition(score, -limit, axis=1)[:, -limit, None] if len(some) > limit else np.full((len(score), 1), -np.inf)
-                    i, j = np.where(score >= least - 1e-8)  # more than rounding can change
-                    at = pa.array(some[j])
-                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows[lo + i])), batch.column(0).take(at), pa.array(score[i, j]), batch.column(1).take(at)], ["qid", "id", "score", "ord"])
+                whole = np.flatnonzero((n == length) & ~np.asarray(lists.is_null()))
+                for k in range(0, len(whole), 1024):
+                    some = whole[k : k + 1024]
+                    flat = lists.take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(some), length)
+                    for lo in range(0, len(q), 1024):
+                        score = q[lo : lo + 1024] @ flat.T
+                        high = np.where(np.isnan(score), np.inf, score)
+                        mine = best[length][lo : lo + 1024]
+                        mine[:] = _best(mine, high)
+                        i, j = np.where(high >= mine.min(axis=1, keepdims=True) - 1e-8)  # more than rounding can change
+                        at = pa.array(some[j])
+                        yield pa.RecordBatch.from_arrays([qids.take(pa.array(rows[lo + i])), batch.column(0).take(at), pa.array(score[i, j]), batch.column(1).take(at)], ["qid", "id", "score", "ord"])
 
     rows = vectors.select("id", "ord", "embedding")
     found = rows.mapInArrow(run, f"qid {kind}, id string, score double, ord {rows.schema['ord'].dataType.simpleString()}")

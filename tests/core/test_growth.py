@@ -1,6 +1,12 @@
 """What must not grow faster than the input: exchanges, repeated rows, memory of a task."""
 
-from graphloom.operators import context, history
+import tracemalloc
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+
+from graphloom.operators import context, history, retrieval
 
 
 def plan(df):
@@ -29,3 +35,32 @@ def test_modified_by_author_repeats_no_change_and_bounds_its_tasks(spark):
     made = history.modified_by_author(modified, authors)
     assert "Expand" not in plan(made) and "REPARTITION_BY_NUM" in plan(made)
     assert {tuple(r) for r in made.collect()} == {("x", 2, 2, 18.0), ("y", 1, 1, 12.0), (None, 1, 1, 1.0)}
+
+
+def test_overlaps_hold_no_more_than_a_bounded_part_of_a_batch():
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(300)]
+    asked = [(q, words[t]) for q in range(200) for t in rng.choice(300, 40, replace=False)]
+    texts = [[words[t] for t in rng.choice(300, 40, replace=False)] for _ in range(10_000)] + [None, []]
+    batch = pa.record_batch([pa.array([f"c{k}" for k in range(10_002)]), pa.array(np.arange(10_002)[::-1].copy()), pa.array(texts, pa.list_(pa.string()))], ["id", "ord", "tokens"])
+    few = pa.table({"qid": [q for q, _ in asked], "token": [t for _, t in asked]})
+    tracemalloc.start()
+    out = pa.Table.from_batches(list(retrieval.overlaps(iter([batch, batch.slice(0, 0)]), few, few["qid"].unique(), 7)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    of = Counter(t for _, t in asked)
+    assert peak < 2 * 8 * sum(of[t] for x in texts for t in x or ())  # two arrays of all hits at once
+    found: dict = {}
+    for r in out.to_pylist():
+        found.setdefault(r["qid"], []).append((-r["overlap"], r["ord"], r["id"]))
+    for q in range(0, 200, 20):
+        mine = {t for p, t in asked if p == q}
+        count = Counter({k: len(mine.intersection(t or ())) for k, t in enumerate(texts)})
+        want = sorted((-n, 10_001 - k, f"c{k}") for k, n in count.items() if n)[:7]
+        assert sorted(found[q])[:7] == want
+
+
+def test_vectors_with_nan_come_first_as_in_sql(spark):
+    v = spark.createDataFrame([(f"v{k}", [float(k), 1.0], k) for k in range(3000)] + [("bad", [float("nan"), 1.0], 9999)], "id string, embedding array<float>, ord long")
+    q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, embedding array<float>")
+    assert [r["id"] for r in retrieval.knn(v, q, 3).orderBy("rank").collect()] == ["bad", "v2999", "v2998"]

@@ -107,7 +107,7 @@ def dependents(spark, d):
 
 @query(f"{KG_SQL} SELECT id, kind FROM kg_entities e WHERE NOT EXISTS (SELECT 1 FROM kg_relationships r WHERE r.kind IN ('calls','contains') AND r.source_id = e.id)")
 def leaf_entities(spark, d):
-    return graph.leaves(relationships(spark, d), entities(spark, d)).select("id", "kind")
+    return graph.leaves(views.sources(spark, d, ("calls", "contains")), entities(spark, d)).select("id", "kind")
 
 
 @query("SELECT 'customer::'||o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS value, min(o_orderkey) AS ord FROM orders GROUP BY 1")

@@ -146,6 +146,21 @@ def relationships(spark: SparkSession, sf_dir: str, near: str | None = None, anc
     return reduce(DataFrame.unionByName, kept) if kept else relationships(spark, sf_dir, kinds=("contains",)).filter("false")
 
 
+def sources(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...]) -> DataFrame:
+    """source_id, kind: the ids that edges of these kinds go out from, once for each family of edges.
+
+    Families are made distinct by their key columns, so that numbers are dealt and compared
+    and ids are made of what is left.
+    """
+    kept = []
+    for kind, name, (prefix, column), _, _ in _EDGES:
+        if kind in kinds:
+            if kind == "inherits":
+                raise ValueError("sources of inherits are not told from the table alone")
+            kept.append(table(spark, sf_dir, name).select(column).distinct().select(key(prefix, column).alias("source_id"), F.lit(kind).alias("kind")))
+    return reduce(DataFrame.unionByName, kept)
+
+
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as entities to be chunked: entity_id, content, kind, has_docstring, ord."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))

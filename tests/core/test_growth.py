@@ -6,7 +6,11 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 
+from graphloom import catalog
 from graphloom.operators import context, history, retrieval
+from graphloom.plans import views
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df):
@@ -64,3 +68,12 @@ def test_vectors_with_nan_come_first_as_in_sql(spark):
     v = spark.createDataFrame([(f"v{k}", [float(k), 1.0], k) for k in range(3000)] + [("bad", [float("nan"), 1.0], 9999)], "id string, embedding array<float>, ord long")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "qid long, embedding array<float>")
     assert [r["id"] for r in retrieval.knn(v, q, 3).orderBy("rank").collect()] == ["bad", "v2999", "v2998"]
+
+
+def test_leaf_entities_deals_keys_not_edges(spark):
+    made = catalog.queries()["leaf_entities"](spark, SF)
+    for column in ("l_orderkey", "l_partkey", "o_custkey"):  # distinct as numbers, before the ids are made
+        assert f"HashAggregate(keys=[{column}" in plan(made)
+    r = views.relationships(spark, SF, kinds=("calls", "contains")).select("source_id", "kind").distinct()
+    found = views.sources(spark, SF, ("calls", "contains"))
+    assert found.distinct().exceptAll(r).isEmpty() and r.exceptAll(found).isEmpty()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -39,9 +40,29 @@ def tokenize_docs(spark, d):
 
 @query(f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest({words_sql('text')}) AS token FROM documents) GROUP BY 1")
 def token_frequency(spark, d):
-    rows = documents(spark, d).select("doc_id", F.explode(X.tokenize(F.col("text"))).alias("token"))
-    per = rows.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("n_docs"))
+    return frequency(documents(spark, d), table(spark, d, "documents").select("doc_id"))
+
+
+def frequency(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """token, n, n_docs: how often each token occurs, and in how many documents (distinct ids).
+
+    ``ids`` are the ids of ``docs``. A document in one row counts its own distinct tokens,
+    so that no pair of token and document is shuffled; only of ids in several rows are the
+    pairs brought together.
+    """
+    several = ids.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+    repeated = None
+    if not several.isEmpty():
+        docs, repeated = docs.join(several, "doc_id", "left_anti"), docs.join(several, "doc_id", "left_semi")
+    tokens = X.tokenize(F.col("text"))
+    counted = lambda t, n, d: F.struct(t.alias("token"), F.lit(n).cast("long").alias("n"), d.cast("long").alias("n_docs"))
+    own = F.when(F.col("doc_id").isNotNull(), 1).otherwise(0)
+    both = F.concat(F.transform("tokens", lambda t: counted(t, 1, F.lit(0))), F.transform(F.array_distinct("tokens"), lambda t: counted(t, 0, F.col("own"))))
+    rows = docs.select(own.alias("own"), tokens.alias("tokens")).select(F.explode(both).alias("t")).select("t.*")
+    if repeated is not None:
+        per = repeated.select("doc_id", F.explode(tokens).alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("n"))
+        rows = rows.unionByName(per.select("token", "n", F.lit(1).cast("long").alias("n_docs")))
+    return rows.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs"))
 
 
 def opened(rows: list[tuple]) -> str:

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from graphloom import catalog
 from graphloom.operators import context, history, retrieval
-from graphloom.plans import views
+from graphloom.plans import text_queries, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -77,3 +77,11 @@ def test_leaf_entities_deals_keys_not_edges(spark):
     r = views.relationships(spark, SF, kinds=("calls", "contains")).select("source_id", "kind").distinct()
     found = views.sources(spark, SF, ("calls", "contains"))
     assert found.distinct().exceptAll(r).isEmpty() and r.exceptAll(found).isEmpty()
+
+
+def test_token_frequency_deals_tokens_not_pairs(spark):
+    assert "[token" in (made := plan(catalog.queries()["token_frequency"](spark, SF))) and "hashpartitioning(token" in made
+    assert not any("doc_id" in x for x in made.split("\n") if "Exchange hashpartitioning" in x)
+    docs = spark.createDataFrame([(1, "aa aa bb"), (2, "bb"), (2, "bb cc"), (None, "cc dd"), (3, None)], "doc_id long, text string")
+    found = {tuple(r) for r in text_queries.frequency(docs, docs.select("doc_id")).collect()}
+    assert found == {("aa", 2, 1), ("bb", 3, 2), ("cc", 2, 1), ("dd", 1, 0)}  # n_docs counts distinct ids, so no null

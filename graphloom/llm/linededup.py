@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import EDGES_A_TASK, components, discard, group_runs, saved, shared_keys, small_batches, tiles
+from .common import EDGES_A_TASK, components, discard, group_runs, saved, small_batches, tiles
 from .edits import WORDS, Coded, within
 
 SIMILARITY = 0.9
@@ -380,43 +380,148 @@ def _lines_of(batch: pa.RecordBatch) -> tuple[Lines, np.ndarray, np.ndarray]:
     return Lines(b"\n".join(map(cleaned, texts))), rows, (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, line_no, node, second of every line with a word, and of a line that the task has not met before its keys and sim (the value of ``block_keys``)."""
+HELD_ROWS = 1 << 19  # rows of keys, or of lines, that a task holds before it deals them
+BUCKETS = 4096  # that keys and nodes are dealt to
+TOGETHER = 1 << 18  # rows that are sorted together, unless one bucket has more
+PART = 4096  # rows of a batch
+#: Kinds of rows: doc_id, text_key, line_no, node, second; node, second, doc_id, line_no, text_key, how many; key, node, sim and, in the end, the key's first node and its sim.
+_LINE, _NODE, _KEY = 0, 1, 2
+_WIDTH = (5, 6, 3)
+
+
+def _dealt(kind: int, rows: np.ndarray) -> pa.RecordBatch:
+    """Rows as bytes, those of a bucket together: by their first column, or lines, which any bucket can have, in parts."""
+    if kind == _LINE:
+        first = np.arange(0, len(rows), PART // 8)
+        bucket = (rows[first, 3].view(np.uint64) >> np.uint64(52)).astype(np.int32)
+    else:
+        of = (rows[:, 0].view(np.uint64) >> np.uint64(52)).astype(np.uint16)
+        order = np.argsort(of, kind="stable")
+        rows, of = rows[order], of[order]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+        bucket = of[first].astype(np.int32)
+    ends = (np.r_[first, len(rows)] * 8 * _WIDTH[kind]).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), kind, np.int32)), pa.array(bucket), packed], ["kind", "bucket", "packed"])
+
+
+def _firsts(rows: np.ndarray) -> np.ndarray:
+    """Of rows (node, second, doc_id, line_no, text_key, how many), one for each node and second: the first place, and how many in all."""
+    rows = rows[np.lexsort(rows.T[4::-1])]
+    first = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(1)])
+    out = rows[first]
+    out[:, 5] = np.add.reduceat(rows[:, 5], first)
+    return out
+
+
+def _shared(keys: np.ndarray) -> np.ndarray:
+    """Of all rows (key, node, sim) of some keys: those of keys that more than one node has, with the key's first node and its sim; repeated ones once."""
+    order = np.argsort(keys[:, 0])
+    key = keys[order, 0]
+    same = key[1:] == key[:-1]
+    keys = keys[order[np.r_[False, same] | np.r_[same, False]]]
+    keys = keys[np.lexsort((keys[:, 1], keys[:, 0]))]
+    keys = keys[np.r_[True, (keys[1:, :2] != keys[:-1, :2]).any(1)][: len(keys)]]
+    first = np.flatnonzero(np.r_[True, keys[1:, 0] != keys[:-1, 0]][: len(keys)])
+    size = np.diff(np.r_[first, len(keys)])
+    return np.concatenate([keys, keys[np.repeat(first, size), 1:]], axis=1)[np.repeat(size > 1, size)]
+
+
+def _met(docs: DataFrame) -> DataFrame:
+    """As bytes, dealt to buckets: every line with a word, its node, and the keys and sim (the value of ``block_keys``) of nodes that the task has not met before."""
+
+    def dealt(places: list[np.ndarray], keys: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if places:
+            lines = np.concatenate(places)
+            yield _dealt(_LINE, lines)
+            yield _dealt(_NODE, _firsts(np.concatenate([lines[:, [3, 4, 0, 2, 1]], np.ones((len(lines), 1), np.int64)], axis=1)))
+        if sum(map(len, keys)):
+            yield _dealt(_KEY, np.concatenate(keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lines, rows, numbers = _lines_of(batch)
+            some = np.flatnonzero(lines.n)
+            if not len(some):
+                continue
+            node, of = lines.node[some], rows[some]
+            new = np.zeros(len(some), bool)
+            new[np.unique(node, return_index=True)[1]] = True
+            new[new] = [x not in seen for x in node[new].tolist()]
+            if len(seen) + new.sum() > SEEN:
+                seen.clear()
+            seen.update(node[new].tolist())
+            at, keys, value = block_keys(lines, some[new])
+            held[0].append(np.stack([batch.column(0).to_numpy()[of], batch.column(1).to_numpy()[of], numbers[some].astype(np.int64), node, lines.second[some]], axis=1))
+            held[1].append(np.stack([keys, node[new][at], value[at]], axis=1))
+            if max(sum(map(len, h)) for h in held) >= HELD_ROWS:
+                yield from dealt(*held)
+                held = ([], [])
+        yield from dealt(*held)
+
+    return _keyed(docs).mapInArrow(run, "kind int, bucket int, packed binary")
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """kind, a, b, c, d, e, f: every line with a word, every node with its first place, and the keys that several nodes share (``_LINE``, ``_NODE``, ``_KEY``).
+
+    Rows go through the shuffle as bytes, many at a time, as most keys are of one line
+    only and end there. A task sorts the rows of whole buckets, some at a time; a bucket
+    has about a BUCKETS-th of all, and of a very common line or key a row for each node
+    and task at most.
+    """
+    met = _met(docs)
+
+    def made(kind: int, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        table = rows.reshape(-1, _WIDTH[kind])
+        table = _firsts(table) if kind == _NODE else _shared(table) if kind == _KEY else table
+        for k in range(0, len(table), PART):
+            part = np.zeros((6, min(PART, len(table) - k)), np.int64)
+            part[: table.shape[1]] = table[k : k + PART].T
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part.shape[1], kind, np.int32)), *map(pa.array, part)], ["kind", *"abcdef"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, last = [], 0, (-1, -1)
         for batch in batches:
-            if batch.num_rows:
-                lines, rows, numbers = _lines_of(batch)
-                some = np.flatnonzero(lines.n)
-                node = lines.node[some]
-                new = np.zeros(len(some), bool)
-                new[np.unique(node, return_index=True)[1]] = True
-                new[new] = [x not in seen for x in node[new].tolist()]
-                if len(seen) + new.sum() > SEEN:
-                    seen.clear()
-                seen.update(node[new].tolist())
-                at, keys, value = block_keys(lines, some[new])
-                sims, ends = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-                sims[new], ends[new] = value, np.bincount(at, minlength=len(value))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(ends)].astype(np.int32)), pa.array(keys[np.argsort(at, kind="stable")]))
-                of = pa.array(rows[some])
-                columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(numbers[some]), pa.array(node), pa.array(lines.second[some]), pa.array(sims), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "line_no", "node", "second", "sim", "keys"])
-
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line_no int, node long, second long, sim long, keys array<long>")
+            for kind, bucket, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (kind != last[0] or bucket != last[1] and n >= TOGETHER * 8 * _WIDTH[kind]):
+                    yield from made(last[0], np.frombuffer(b"".join(held), np.int64))
+                    held, n = [], 0
+                last = (kind, bucket)
+                held.append(packed)
+                n += len(packed)
+        if held:
+            yield from made(last[0], np.frombuffer(b"".join(held), np.int64))
+
+    return met.repartition("bucket").sortWithinPartitions("kind", "bucket").mapInArrow(run, "kind int, a long, b long, c long, d long, e long, f long")
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(node, line): the normalised lines of the places (node, doc_id, text_key, line_no); may repeat where a row does."""
-    lines = _keyed(docs).select("doc_id", "text_key", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw")).filter("raw <> ''")
-    found = lines.join(places.hint("shuffle_hash"), ["doc_id", "line_no", "text_key"]).select("node", "raw")
+    """(node, line): the normalised lines of the places (node, doc_id, text_key, line_no).
+
+    Of a document its text comes first, then its places, in batches of any size.
+    """
+    texts = _keyed(docs).select("doc_id", "text_key", F.lit(-1).alias("line_no"), F.lit(None).cast("long").alias("node"), "text")
+    both = texts.union(places.select("doc_id", "text_key", "line_no", "node", F.lit(None).cast("string").alias("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, parts = "", None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalised(x) for x in batch.column(1).to_pylist()], pa.string())], ["node", "line"])
+            nodes, lines = [], []
+            for number, node, new in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number < 0:
+                    text, parts = new, None
+                    continue
+                parts = parts or text.split("\n")
+                nodes.append(node)
+                lines.append(normalised(parts[number]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(lines, pa.string())], ["node", "line"])
 
-    return found.mapInArrow(run, "node long, line string")
+    return both.repartition("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key", "line_no").select("line_no", "node", "text").mapInArrow(run, "node long, line string")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -602,10 +707,13 @@ def _contracted(edges: DataFrame) -> DataFrame:
 def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The occurrences of all lines; the distinct lines with first place and number; (node, root) of lines in a group with others."""
     whole = saved(occurrences(docs), "occurrences")
-    lines = whole.select("doc_id", "text_key", "line_no", "node", "second")
-    place = F.struct("doc_id", "line_no", "text_key")
-    nodes = saved(lines.groupBy("node", "second").agg(F.min(place).alias("at"), F.count("*").alias("n")), "nodes")
-    members = saved(shared_keys(whole.select(F.explode("keys").alias("key"), "node", "sim"), "sim", "sa"), "buckets")
+
+    def rows(kind: int, *names: str) -> DataFrame:
+        return whole.filter(F.col("kind") == kind).select(*[F.col(c).cast("int" if n == "line_no" else "long").alias(n) for c, n in zip("abcdef", names, strict=False)])
+
+    lines = rows(_LINE, "doc_id", "text_key", "line_no", "node", "second")
+    nodes = rows(_NODE, "node", "second", "doc_id", "line_no", "text_key", "n").select("node", "second", F.struct("doc_id", "line_no", "text_key").alias("at"), "n")
+    members = rows(_KEY, "key", "node", "sim", "a", "sa")
     shared = members.filter("node <> a").filter(_near("sim", "sa")).groupBy("a", "node").agg(F.count("*").alias("n"))
     first = saved(shared.groupBy(F.col("node").alias("b")).agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"), "pairs")
     wanted = nodes.select("node", "at.*").join(members.select("node").distinct(), "node", "left_semi")
@@ -613,12 +721,11 @@ def line_groups(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFr
     links = confirm(first, texts, similarity)
     discard(first)
     roots = components(_contracted(links), "lines")
-    rows = _open(members, roots)
-    discard(members)
-    if not rows.isEmpty():
+    open_rows = _open(members, roots)
+    if not open_rows.isEmpty():
         known = roots.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots = components(_contracted(known.union(_between(rows, texts, similarity))), "lines")
-    discard(rows)
+        roots = components(_contracted(known.union(_between(open_rows, texts, similarity))), "lines")
+    discard(open_rows)
     discard(texts)
     return lines, nodes, roots
 
